@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, languages, ledger, licences, machine, packing, simhash, sketch, templates
+from . import chat, dac, languages, ledger, licences, machine, oracles, packing, simhash, sketch, templates
 from .common import read
 
 #: A conversation whose texts hold the template's own control strings.
@@ -83,8 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_round_trip": CHAT_SQL, "op6_secret_ledger": SECRETS_SQL}
-
-
-CHAT_SQL = ""
-SECRETS_SQL = ""
+    return {"op4_chat_round_trip": oracles.CHAT, "op6_secret_ledger": oracles.secrets_sql()}

@@ -21,4 +21,4 @@ def partial_email(ctx: Context, value: str) -> str:
 @mask_function("ternary", args=(3, 3))
 def ternary(ctx: Context, condition: str, yes: str, no: str) -> str:
     """yes where the condition holds, else no (also where it is null)."""
-    return f"CASE WHEN {condition} THEN {yes} ELSE {no} END"
+    return f"CASE WHEN CAST({condition} AS boolean) THEN {yes} ELSE {no} END"

@@ -13,7 +13,7 @@ _TOKEN = re.compile(
     |(?P<dollar>\$(?P<tag>[A-Za-z_]*)\$(?P<body>.*?)\$(?P=tag)\$)
     |(?P<string>[eE]?'(?:[^']|'')*')
     |(?P<quoted>"(?:[^"]|"")*"|`(?:[^`]|``)*`)
-    |(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)
+    |(?P<number>(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?(?:[bB][dD]|[lLsSyYdDfF])?\b)
     |(?P<word>[A-Za-z_][A-Za-z0-9_$]*)
     |(?P<sign>::|->>|->|<=|>=|<>|!=|\|\||=>|.)""",
     re.X | re.S,

@@ -261,8 +261,8 @@ class Session:
         table = self.engine.registry.table(name)
         return masking.Compiler(self.engine, table, role=self.role).authentic()
 
-    def sql(self, text: str) -> DataFrame:
-        return masked_sql(self, text)
+    def sql(self, text: str, args=None) -> DataFrame:
+        return masked_sql(self, text, args)
 
 
 class MaskedSession(Session):

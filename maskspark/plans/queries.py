@@ -5,7 +5,9 @@ Random masks are registered as invariants: one row for each function, with the r
 
 from __future__ import annotations
 
+import struct
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,14 @@ def engine_for(spark: SparkSession, sf_dir: str, **conf) -> Engine:
     return engine
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; in local mode without one, a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='maskspark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None, name: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
@@ -392,21 +402,113 @@ def sample_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, md5(user_id::VARCHAR) AS user_id, NULL::VARCHAR AS props FROM events")
 def stream_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of a table over a stream of files."""
-    import uuid
-
     engine = engine_for(spark, sf_dir)
     engine.register("log", engine.table("events").withColumn("user_id", F.col("user_id").cast("string")))
     engine.label("COLUMN", "log.user_id", f("anon.md5(user_id)"))
     engine.label("COLUMN", "log.props", "MASKED WITH VALUE NULL")
     source = spark.readStream.schema(engine.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = mask_stream(engine, source.withColumn("user_id", F.col("user_id").cast("string")), "log")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     run = stream.select("event_id", "user_id", "props").writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 
+# sinks, sources, catalogue
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, md5(c_name) AS c_name FROM customer")
+def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An anonymous dump, read back."""
+    engine = engine_for(spark, sf_dir)
+    engine.label("COLUMN", "customer.c_name", f("anon.md5(c_name)"))
+    paths = engine.dump(shared_path(spark, "dump"), tables=["customer", "nation"], exclude_tables=["nation"])
+    return spark.read.csv(paths["public.customer"], header=True).select("c_custkey", "c_name")
+
+
+@query("SELECT c_nationkey, 'x' AS c_name, count(*) AS n FROM customer GROUP BY c_nationkey")
+def copy_to_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A masked role's export of some columns, read back."""
+    engine = role_engine(spark, sf_dir)
+    engine.label("COLUMN", "customer.c_name", "MASKED WITH VALUE 'x'")
+    path = shared_path(spark, "copy")
+    engine.session("analyst").write("customer", path, ["c_nationkey", "c_name"], fmt="parquet")
+    return spark.read.parquet(path).groupBy("c_nationkey", "c_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, d.val AS c_name FROM customer LEFT JOIN (VALUES (0, 'Rome'), (1, 'Oslo'), (2, 'Lima')) d(oid, val) ON d.oid = " + _OID.format(n=2, seed="c_custkey::VARCHAR", salt=""))
+def load_csv_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary loaded from a file of number, tab, value."""
+    engine = engine_for(spark, sf_dir)
+    path = shared_path(spark, "city")
+    spark.createDataFrame([(0, "Rome"), (1, "Oslo"), (2, "Lima")], "oid int, val string").write.option("sep", "\t").csv(path)
+    engine.dictionaries.load_csv("city", path)
+    engine.label("COLUMN", "customer.c_name", f("anon.pseudo_city(c_custkey)"))
+    return engine.masked("customer").select("c_custkey", "c_name")
+
+
+@query("SELECT r_regionkey, 'anonymized' AS r_name FROM region")
+def anonymize_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_for(spark, sf_dir)
+    engine.label("COLUMN", "region.r_name", "MASKED WITH VALUE 'anonymized'")
+    engine.label("COLUMN", "region.r_regionkey", "MASKED WITH VALUE NULL")
+    engine.anonymize_column("region", "r_name")
+    return engine.table("region")
+
+
+@query("SELECT count(*) AS n, TRUE AS near, TRUE AS days FROM lineitem")
+def noise_columns_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_for(spark, sf_dir)
+    engine.register("lines", engine.table("lineitem").selectExpr("l_quantity", "l_quantity AS q", "l_shipdate", "l_shipdate AS d"))
+    engine.add_noise_on_numeric_column("lines", "q", 0.25)
+    engine.add_noise_on_datetime_column("lines", "d", "3 days")
+    near = F.expr("bool_and(abs(q - l_quantity) <= 0.2501 * l_quantity)")
+    days = F.expr("bool_and(abs(datediff(d, l_shipdate)) <= 3)")
+    return engine.table("lines").agg(F.count("*").alias("n"), near.alias("near"), days.alias("days"))
+
+
+@query("SELECT * FROM (VALUES ('expressions', '`r_regionkey` AS `r_regionkey`, CAST(NULL AS string) AS `r_name`'), ('value', 'CAST(NULL AS string)'), ('schema', 'anon'), ('filters', '`r_regionkey` AS `r_regionkey`, CAST(NULL AS string) AS `r_name`')) t(what, sql)")
+def masking_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules compile to, as text."""
+    from ..operators.views import mask_filters
+
+    engine = engine_for(spark, sf_dir)
+    engine.label("COLUMN", "region.r_name", "MASKED WITH VALUE NULL")
+    rows = [("expressions", engine.masking_expressions("region")), ("value", engine.masking_value("region", "r_name")), ("schema", engine.get_function_schema("anon.md5(r_name)")), ("filters", mask_filters(engine, "region"))]
+    return spark.createDataFrame(rows, "what string, sql string")
+
+
+@query("SELECT * FROM (VALUES ('analyst', TRUE), ('auditor', FALSE), ('owner', FALSE)) t(rolname, hasmask)")
+def masked_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_engine(spark, sf_dir).masked_roles()
+
+
+@query("SELECT * FROM (VALUES ('r_regionkey', NULL, 'int'), ('r_name', 'anon.md5(r_name)', 'string')) t(attname, masking_filter, format_type)")
+def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import views
+
+    engine = engine_for(spark, sf_dir)
+    engine.label("COLUMN", "region.r_name", f("anon.md5(r_name)"))
+    return views.mask_columns(engine, "region")
+
+
+@query("SELECT c_custkey, 'CONFIDENTIAL' AS c_mktsegment FROM customer WHERE c_nationkey = 5")
+def dyn_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement with a parameter."""
+    return role_engine(spark, sf_dir).session("analyst").sql("SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = :nation", args={"nation": 5})
+
+
+@query("SELECT n_nationkey, TRUE AS same_size, TRUE AS changed FROM nation")
+def image_blur_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkered bitmaps, blurred: the same header and size, other pixels."""
+    engine = engine_for(spark, sf_dir)
+    rows = b"".join((b"\x00" * 3 + b"\xff" * 3) * 4 for _ in range(8))
+    image = b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 8, 8, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+    df = engine.table("nation").withColumn("image", F.lit(bytearray(image)))
+    df = df.withColumn("blurred", engine.expression("anon.image_blur(image, 1.5)", df))
+    return df.select("n_nationkey", (F.length("blurred") == len(image)).alias("same_size"), (F.col("blurred") != F.col("image")).alias("changed"))
+
+
 @query("SELECT c_nationkey, substring(c_name, 1, 2) || '******' || right(c_name, 3) AS c_name, count(*) AS n, CAST(NULL AS DOUBLE) AS total, 'CONFIDENTIAL' AS segment FROM customer GROUP BY 1, 2")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A masked role's aggregate over customers."""

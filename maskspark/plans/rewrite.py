@@ -80,8 +80,8 @@ class Finder:
             self.expression(child, scope)
 
 
-def masked_sql(session, text: str) -> DataFrame:
-    """text with every table masked for the session's role."""
+def masked_sql(session, text: str, args=None) -> DataFrame:
+    """text with every table masked for the session's role; args: values of its parameters."""
     spark = session.engine.spark
     root = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     finder = Finder()
@@ -96,7 +96,7 @@ def masked_sql(session, text: str) -> DataFrame:
                 session.table(key).createOrReplaceTempView(views[key])
             alias = "" if named else f" AS {quote(parts[-1])}"
             out = out[:start] + quote(views[key]) + alias + out[stop + 1 :]
-        return spark.sql(out)
+        return spark.sql(out, args=args)
     finally:
         for view in views.values():
             spark.catalog.dropTempView(view)

@@ -1,10 +1,16 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints that differ in at most radius bits agree in at least one choice of (m - radius) of m bit blocks. So every
-distinct fingerprint goes to one cell for each choice, keyed by the bits of the chosen blocks, and only cells are
-compared: sorted by population count and cut into tiles, each pair of tiles by exclusive-or and bit counts, but for pairs
-whose population counts differ beyond the radius. m grows with the number of fingerprints, so that cells stay small; a
-cell with more than CELL fingerprints is dealt out as pairs of parts, each pair a unit of work of its own.
+Every distinct fingerprint goes to some cells, and only cells are compared: sorted by population count and cut into tiles,
+each pair of tiles by exclusive-or and bit counts, but for pairs whose population counts differ beyond the radius. A cell
+with more than CELL fingerprints is dealt out as pairs of parts, each pair a unit of work of its own.
+
+64-bit fingerprints within a small radius: of m bit blocks, those that differ in at most radius bits agree in at least one
+choice of m - radius. There is a cell for each choice, keyed by the bits of its blocks, so no link is lost. m grows with the
+number of fingerprints, so that cells stay small.
+
+Wide fingerprints of distinct shingles, for a similarity: here a near pair differs in too many bits for blocks. Cells are
+keyed by samples of bits, as many samples as it takes for a pair at the least similarity to share a cell with probability
+RECALL; more bits make a sample as the number of fingerprints grows.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, partitions, unused
 from .components import components
-from .words import LOWER
+from .sketch import shingle_hashes
+from .words import LOWER, mix
 
 TILE, CELL = 512, 8192
 _LOWER = LOWER.tobytes()
@@ -81,28 +88,33 @@ def cell_keys(fp, n: int, radius: int) -> list:
     return keys
 
 
-def tile_links(fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def tile_links(ids: np.ndarray, bits: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect what the fingerprints within the radius connect (a spanning forest of each pair of tiles).
 
-    fp: distinct uint64. side: 0 for all if every pair counts, else 0 and 1, and only pairs across count.
+    bits: a row of uint64 for each id. side: 0 for all if every pair counts, else 0 and 1, and only pairs across count.
     """
-    pop = np.bitwise_count(fp).astype(np.int16)
+    pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     order = np.argsort(pop, kind="stable")
-    fp, side, pop = fp[order], side[order], pop[order]
+    ids, bits, side, pop = ids[order], bits[order], side[order], pop[order]
     within = not side.any()
-    groups = [np.arange(len(fp))] * 2 if within else [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+    groups = [np.arange(len(ids))] * 2 if within else [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
     tiles = [[g[i : i + TILE] for i in range(0, len(g), TILE)] for g in groups]
     out: list[tuple[int, int]] = []
     for i, one in enumerate(tiles[0]):
         for two in tiles[1][i:] if within else tiles[1]:
-            if int(pop[two[0]]) - int(pop[one[-1]]) > radius:
+            if pop[two[0]] - pop[one[-1]] > radius:
                 break  # later tiles have larger counts still
-            if int(pop[one[0]]) - int(pop[two[-1]]) > radius:
+            if pop[one[0]] - pop[two[-1]] > radius:
                 continue
-            near = np.bitwise_count(fp[one][:, None] ^ fp[two][None, :]) <= radius
+            apart = np.bitwise_count(bits[one, 0][:, None] ^ bits[two, 0][None, :])
+            if bits.shape[1] > 1:
+                apart = apart.astype(np.uint16)
+                for k in range(1, bits.shape[1]):
+                    apart += np.bitwise_count(bits[one, k][:, None] ^ bits[two, k][None, :])
+            near = apart <= radius
             if within and one is two:
                 np.fill_diagonal(near, False)
-            out += [(int(fp[one[a]]), int(fp[two[b]])) for a, b in _forest(near)]
+            out += [(int(ids[one[a]]), int(ids[two[b]])) for a, b in _forest(near)]
     return out
 
 
@@ -127,35 +139,40 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_links(fps: DataFrame, n: int, radius: int = 3) -> DataFrame:
-    """Links (a, b) that connect all of n distinct fingerprints (fp) within the radius."""
-    spark = fps.sparkSession
-    cells = fps.select("fp", F.explode(F.array(*cell_keys(F.col("fp"), n, radius))).alias("cell"))
+def cell_links(cells: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within the radius in cells (cell, fp, bits).
+
+    fp: a number for each fingerprint; bits: its bits as little-endian uint64, or null if they are fp itself.
+    """
+    spark = cells.sparkSession
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    sizes, path = materialize(sizes, "cells")  # at most choices * n / CELL rows
+    sizes, _ = materialize(sizes, "cells")  # at most rows / CELL
     cells = cells.join(sizes, "cell", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(0)) / CELL).cast("int"))
-    small = cells.where("parts = 0").select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp")
-    part = F.pmod(F.xxhash64("fp", "cell"), F.col("parts")).cast("int")
-    large = cells.where("parts > 0").withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    large = large.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "fp")
+    part = F.pmod(F.xxhash64("fp", "cell"), F.greatest("parts", F.lit(1))).cast("int")
+    dealt = cells.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, greatest(parts, 1) - 1)")))
+    units = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "fp", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (cell, i, j): each run of equal keys is one unit of work of at most 2 * CELL rows, or a little more."""
+        """Rows come sorted by (cell, i, j): each run of equal keys is one unit of work of about 2 * CELL rows at most."""
         rest: list[np.ndarray] = []
 
         def links(unit: np.ndarray) -> list[tuple[int, int]]:
-            return tile_links(unit[:, 4].astype(np.int64).view(np.uint64), unit[:, 3], radius) if len(unit) > 1 else []
+            return tile_links(unit[:, 4], unit[:, 5:].astype(np.int64).view(np.uint64), unit[:, 3], radius) if len(unit) > 1 else []
 
         def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]], axis=1)
+            wide = batch.column(5).null_count == 0
+            bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<i8").reshape(len(keys), -1) if wide else keys[:, 4:5]
+            rows = np.concatenate([keys, bits], axis=1)
             rows = np.concatenate([*rest, rows]) if rest else rows
             edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            found = []
-            last = 0
+            found, last = [], 0
             for edge in edges.tolist():
                 if edge - last > 1:
                     found += links(rows[last:edge])
@@ -166,8 +183,24 @@ def near_links(fps: DataFrame, n: int, radius: int = 3) -> DataFrame:
         if rest and (found := links(rest[0])):
             yield table(found)
 
-    units = small.unionAll(large).repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return units.mapInArrow(run, "a long, b long")
+    return units.repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_links(fps: DataFrame, n: int, radius: int = 3) -> DataFrame:
+    """Links (a, b) that connect all of n distinct 64-bit fingerprints (fp) within the radius."""
+    cells = fps.select("fp", F.explode(F.array(*cell_keys(F.col("fp"), n, radius))).alias("cell"))
+    return cell_links(cells.select("cell", "fp", F.lit(None).cast("binary").alias("bits")), radius)
+
+
+def classes(own: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """own's rows with component_id, the smallest doc_id that links between fingerprints lead to.
+
+    own: rows with doc_id and fp; distinct: (fp, least), its fingerprints with their smallest doc_ids.
+    """
+    roots, _ = materialize(components(links), "roots")
+    grouped = distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(grouped.join(least, "root").select("fp", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
@@ -181,21 +214,83 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own, _ = materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
     distinct, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links, path = materialize(near_links(distinct.select("fp"), distinct.count(), radius), "near")
-    roots, _ = materialize(components(links), "roots")
+    out = classes(own, distinct, links)
     discard(docs.sparkSession, path)
-    grouped = distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDTH, RECALL = 4, 0.995
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """SimHash of WIDTH * 64 bits over a text's distinct word shingles."""
+    h = np.unique(shingle_hashes(text or "", shingle))
+    if not len(h):
+        return bytes(8 * WIDTH)
+    counts = np.zeros(64 * WIDTH, np.int64)
+    for i in range(0, len(h), 1 << 12):
+        part = h[i : i + (1 << 12)]
+        with np.errstate(over="ignore"):
+            wide = np.stack([mix(part + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(WIDTH)], axis=1)
+        counts += np.unpackbits(wide.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(h), bitorder="little").tobytes()
+
+
+def flips(similarity: float) -> float:
+    """Probability that a bit differs between two sets of equal size with this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def samples(n: int, similarity: float) -> list[list[int]]:
+    """Samples of bits for n wide fingerprints."""
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / 1024))))
+    meet = (1 - flips(similarity)) ** bits
+    count = 1 if meet >= RECALL else int(np.ceil(np.log(1 - RECALL) / np.log1p(-meet)))
+    rng = np.random.default_rng(17)
+    return [rng.choice(64 * WIDTH, bits, replace=False).tolist() for _ in range(count)]
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Every row's doc_id and component_id, linking texts whose shingle sets have about that Jaccard similarity or more.
+
+    The radius is the expected number of differing bits plus two standard deviations, so nearly all pairs at the
+    similarity link, and so do some that are a little less similar. Texts without a word are all alike, as are texts of
+    fewer words than a shingle that are equal; nulls and repeats are as in near_duplicates().
+    """
+    p, size = flips(similarity), 64 * WIDTH
+    radius = int(p * size + 2 * np.sqrt(size * p * (1 - p)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], ["doc_id", "bits"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = rows.mapInArrow(run, "doc_id long, bits binary").withColumn("fp", F.xxhash64("bits"))
+    own, _ = materialize(own, "fingerprints")
+    distinct, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")), "distinct")
+    chosen = samples(distinct.count(), similarity)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            image = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, 8 * WIDTH)
+            bits = np.unpackbits(image, axis=1, bitorder="little").astype(np.int64)
+            keys = np.stack([bits[:, s] @ (1 << np.arange(len(s), dtype=np.int64)) * len(chosen) + k for k, s in enumerate(chosen)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["fp", "bits", "cells"])
+
+    dealt = distinct.select("fp", "bits").mapInArrow(cells, "fp long, bits binary, cells array<long>")
+    links, path = materialize(cell_links(dealt.select(F.explode("cells").alias("cell"), "fp", "bits"), radius), "near")
+    out = classes(own.select("doc_id", "fp"), distinct.select("fp", "least"), links)
+    discard(docs.sparkSession, path)
+    return out.select("doc_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id.
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar_documents(): the one with the smallest doc_id.
 
     Of repeated rows with that doc_id the first by a hash of the text, then by the text, stays. Rows without a doc_id all
     stay, since nothing tells them apart. All columns of the input stay as they are.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, radius, seed)
+    found = similar_documents(docs, doc_id, text, shingle, similarity)
     own, rank = unused(docs, "kept"), unused(docs, "rank")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     kept = docs.join(keep, F.col(doc_id).cast("long") == F.col(own), "left_semi")

@@ -112,6 +112,34 @@ def test_deduplicate_keeps_the_smallest(documents):
     assert simhash.deduplicate(documents([])).count() == 0
 
 
+def test_similar_documents(documents, spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+        rows.append((10 * k, " ".join(words)))
+        for j in range(1, 3):
+            copy = list(words)
+            for at in rng.choice(300, 4, replace=False):  # at most 20 of about 300 shingles change
+                copy[at] = "edit"
+            rows.append((10 * k + j, " ".join(copy)))
+            want[10 * k + j] = 10 * k
+    rows += [(5000, None), (5001, ""), (5002, "short"), (5003, "short"), (None, "short")]
+    for cells in (simhash.CELL, 40):
+        monkeypatch.setattr(simhash, "CELL", cells)
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows, extra=True)).collect()}
+        assert sum(got[k] == v for k, v in want.items()) >= 0.98 * len(want)
+        assert all(got[10 * k] == 10 * k for k in range(120))
+        assert got[5001] == 5000 and got[5003] == got[None] == 5002
+    assert simhash.similar_documents(documents([])).count() == 0
+
+
+def test_samples_reach_the_recall():
+    for n in (10, 10**4, 10**6, 10**8):
+        chosen = simhash.samples(n, 0.8)
+        assert 1 - (1 - (1 - simhash.flips(0.8)) ** len(chosen[0])) ** len(chosen) >= 0.99
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(0, 2**64, 80, dtype=np.uint64)

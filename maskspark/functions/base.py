@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructType
 
 from ..conf import EngineConf
@@ -23,8 +24,13 @@ class Context:
     enums: dict[str, list[str]] = field(default_factory=dict)
     row_numbers: set[str] = field(default_factory=set)
 
+    @cached_property
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
+
     def type_of(self, sql: str) -> DataType:
-        return self.spark.createDataFrame([], self.schema).selectExpr(f"{sql} AS x").schema[0].dataType
+        """The type that Spark's analysis gives an expression over the table."""
+        return self._empty.selectExpr(f"{sql} AS x").schema[0].dataType
 
 
 @dataclass(frozen=True)

@@ -51,11 +51,9 @@ class Compiler:
     def _cast(self, sql: str, field: StructField) -> str:
         if not self.engine.conf.strict_mode:
             return sql
-        schema = self.context.schema
         if self.context.row_numbers and ROW_NUMBER in sql:
             return f"CAST({sql} AS {field.dataType.simpleString()})"
-        actual = self.engine.spark.createDataFrame([], schema).selectExpr(f"{sql} AS x").schema[0].dataType
-        return strict_cast(sql, actual, self.table.types.get(field.name, field.dataType))
+        return strict_cast(sql, self.context.type_of(sql), self.table.types.get(field.name, field.dataType))
 
     def column(self, field: StructField) -> tuple[str, bool]:
         """(expression, masked?) of a column: its rule, else its default or NULL if privacy is the default, else itself."""

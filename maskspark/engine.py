@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,10 @@ class Engine:
     # tables
 
     def register(self, name: str, source: DataFrame | Callable[[], DataFrame] | str, fmt: str = "parquet", options: dict | None = None, **metadata) -> Table:
-        """A table by name: a DataFrame, a function that gives one, or a path in a format. metadata: see Table."""
+        """A table by name: a DataFrame, a function that gives one, or a path in a format. metadata: see Table.
+
+        A function is called once, when the table is first needed; register the table anew if its schema changes.
+        """
         path = None
         if isinstance(source, DataFrame):
             read = lambda: source
@@ -38,7 +42,7 @@ class Engine:
             loaded = self.spark.read.format(fmt).options(**(options or {})).load(source)
             read = lambda: loaded
         else:
-            read = source
+            read = cache(source)
         table = Table(table_name(name), read, path=path, **metadata)
         self.registry.tables[table.name] = table
         return table

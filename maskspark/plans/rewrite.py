@@ -17,7 +17,7 @@ from ..sqltext import quote
 READS = frozenset(
     "Project Sort GlobalLimit LocalLimit Limit Offset Aggregate UnresolvedHaving Distinct Union Except Intersect UnresolvedWith SubqueryAlias UnresolvedSubqueryColumnAliases Filter Join "
     "WithWindowDefinition UnresolvedInlineTable InlineTable LocalRelation OneRowRelation Pivot Unpivot Generate LateralJoin Sample UnresolvedRelation UnresolvedTableValuedFunction Expand "
-    "Window SetOperation Deduplicate UnresolvedTVFAliases UnresolvedOrderBy UnresolvedTransform".split()
+    "Window SetOperation Deduplicate UnresolvedTVFAliases".split()
 )
 #: Functions that reach beyond the tables.
 DENIED = frozenset("reflect java_method try_reflect read_files input_file_name input_file_block_start input_file_block_length current_catalog sql_keywords".split())
@@ -59,6 +59,10 @@ class Finder:
             return
         for e in _list(node.expressions()):
             self.expression(e, scope)
+        if kind == "WithWindowDefinition":  # its windows aren't among its expressions
+            windows = node.windowDefinitions().valuesIterator()
+            while windows.hasNext():
+                self.expression(windows.next(), scope)
         for child in _list(node.children()):
             self.plan(child, scope, named=kind in ("SubqueryAlias", "Sample"))
 

@@ -34,6 +34,9 @@ def engine(spark):
     ("SELECT name FROM (SELECT * FROM t) s WHERE id IN (SELECT id FROM u)", [("hidden",)]),
     ("SELECT name FROM t WHERE id = 1 UNION ALL SELECT secret FROM u", [("hidden",), (None,)]),
     ("SELECT id FROM range(2)", [(0,), (1,)]),
+    ("SELECT id, rank() OVER w AS r FROM t WINDOW w AS (PARTITION BY (SELECT max(name) FROM t) ORDER BY id)", [(1, 1), (2, 2), (3, 3)]),
+    ("SELECT s.name FROM u, LATERAL (SELECT name FROM t WHERE t.id = u.id) s", [("hidden",)]),
+    ("SELECT k, name FROM t LATERAL VIEW explode(array(1, 2)) e AS k WHERE id = 1 ORDER BY k", [(1, "hidden"), (2, "hidden")]),
     ("SELECT 'FROM t' AS t", [("FROM t",)]),
     ("SELECT name, row_number() OVER (ORDER BY id) AS r FROM t ORDER BY id LIMIT 1", [("hidden", 1)]),
 ])
@@ -43,7 +46,7 @@ def test_masked_queries(engine, sql, expected):
 
 @pytest.mark.parametrize("sql", [
     "EXPLAIN SELECT * FROM t", "TRUNCATE TABLE t", "INSERT INTO t VALUES (1, 'a', 2)", "CREATE TABLE x AS SELECT * FROM t", "CREATE TEMPORARY VIEW v AS SELECT 1", "DROP TABLE t", "SHOW TABLES", "SET x = 1", "DESCRIBE t", "CACHE TABLE t", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM no_such_table",
-    "SELECT reflect('java.lang.System', 'getenv', 'PATH')", "SELECT * FROM IDENTIFIER('t')", "WITH a AS (SELECT * FROM parquet.`/x`) SELECT * FROM a", "SELECT (SELECT max(x) FROM json.`/x`)", "SELECT java_method('java.lang.System', 'exit', 1)",
+    "SELECT reflect('java.lang.System', 'getenv', 'PATH')", "SELECT * FROM IDENTIFIER('t')", "WITH a AS (SELECT * FROM parquet.`/x`) SELECT * FROM a", "SELECT (SELECT max(x) FROM json.`/x`)", "SELECT java_method('java.lang.System', 'exit', 1)", "SELECT TRANSFORM(name) USING 'cat' AS (x) FROM t", "SELECT rank() OVER w FROM t WINDOW w AS (ORDER BY (SELECT max(x) FROM parquet.`/x`))",
 ])
 def test_refused(engine, sql):
     with pytest.raises(InsufficientPrivilege):

@@ -129,12 +129,24 @@ def date_pattern(text: str) -> str:
     return out
 
 
+def _interval_text(months: int, micros: int, pattern: str) -> str:
+    """An interval by a pattern of the host's: years, months, days, hours, minutes, seconds, parts of a second."""
+    seconds, rest = divmod(micros, 10**6)
+    parts = {
+        "YYYY": f"{months // 12:04d}", "MM": f"{months % 12:02d}", "DD": f"{seconds // 86400:02d}", "HH24": f"{seconds % 86400 // 3600:02d}", "HH12": f"{(seconds % 43200 // 3600) or 12:02d}",
+        "MI": f"{seconds % 3600 // 60:02d}", "SS": f"{seconds % 60:02d}", "MS": f"{rest // 1000:03d}", "US": f"{rest:06d}",
+    }
+    return re.sub("|".join(parts), lambda m: parts[m[0].upper()], pattern, flags=re.I)
+
+
 @mask_function("to_char", args=(2, 2))
 def to_char(ctx: Context, value: str, pattern: str) -> str:
     """Dates by pattern; numbers with a leading sign place if the pattern has no sign of its own."""
     text = unliteral(pattern)
     if text is None:
         raise InvalidExpression("the pattern must be a string constant")
+    if re.match(r"\s*interval\b", value, re.I):
+        return literal(_interval_text(*parse_interval(value), text))
     if isinstance(ctx.type_of(value), T.NumericType):
         signed = any(c in text.upper() for c in ("S", "MI", "PR"))
         if signed:

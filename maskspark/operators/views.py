@@ -71,6 +71,22 @@ class LegacyMasking:
             self.engine.dictionaries.init()
         return self.update()
 
+    def mask_role(self, role: str) -> bool:
+        """From now on table() gives the role the shadow views."""
+        self.engine.label("ROLE", role, "MASKED")
+        return self.update()
+
+    def unmask_role(self, role: str) -> bool:
+        self.engine.label("ROLE", role, None)
+        return True
+
+    def table(self, role: str, name: str) -> DataFrame:
+        """What a role reads by a table's plain name: its view if the role is masked, else the table."""
+        table = self.engine.registry.table(name)
+        if self.engine.hasmask(role) and table.name in self.views:
+            return self.engine.spark.table(self.views[table.name])
+        return table.read()
+
     def stop(self) -> bool:
         for view in self.views.values():
             self.engine.spark.catalog.dropTempView(view)

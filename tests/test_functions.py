@@ -75,6 +75,7 @@ GOLDEN = [
     ("anon.substr('abc', 0, 2)", "a"),
     ("anon.to_char(125.8, '999D9')", " 125.8"),
     ("anon.to_char(TIMESTAMP '2002-04-20 17:31:12', 'HH12:MI:SS')", "05:31:12"),
+    ("anon.to_char(INTERVAL '15 hours 2 minutes 12 seconds', 'HH24:MI:SS')", "15:02:12"),
     ("anon.to_date('05 Dec 2000', 'DD Mon YYYY')", dt.date(2000, 12, 5)),
     ("anon.date_part('day', TIMESTAMP '2001-02-16 20:38:40')", 16.0),
     ("anon.date_part('month', INTERVAL '2 years 3 months')", 3.0),

@@ -187,6 +187,10 @@ def test_legacy_views(engine, spark):
     engine.legacy.start()
     assert {r.name for r in spark.table("mask_t").collect()} == {"hidden"}
     assert [(r.attname, r.masking_filter) for r in __import__("maskspark.operators.views", fromlist=["x"]).mask_columns(engine, "t").collect()][1] == ("name", "'hidden'")
+    engine.legacy.mask_role("plain")
+    assert {r.name for r in engine.legacy.table("plain", "t").collect()} == {"hidden"}
+    engine.legacy.unmask_role("plain")
+    assert "Ada" in {r.name for r in engine.legacy.table("plain", "t").collect()}
     engine.legacy.stop()
     assert not engine.hasmask("masked") and not spark.catalog.tableExists("mask_t")
     engine.register("v", engine.table("t"), is_view=True)

@@ -93,6 +93,20 @@ def extend_ledger(docs: DataFrame, ledger: DataFrame | None = None, text: str =
     return todo.select("blob", F.col("todo").alias("scanned")).join(found, "blob", "left").withColumn("findings", F.coalesce("findings", none))
 
 
+#: Parts that the paths of one blob are dealt to; each part meets a copy of the blob's findings, and few blobs have any.
+SALTS = 32
+
+
+def to_paths(paths: DataFrame, found: DataFrame, blob: str, salt: Column) -> DataFrame:
+    """paths left joined with found (blob, findings, without empty ones) by blob; a blob with very many paths is split.
+
+    salt: a number that differs between the paths of a blob.
+    """
+    part = unused(paths, "part")
+    copies = found.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return paths.withColumn(part, F.pmod(salt, F.lit(SALTS)).cast("int")).join(copies, [blob, part], "left").drop(part)
+
+
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, blob, findings) of every row: findings by start, then the rules' order (see scan_blobs).
 
@@ -108,7 +122,8 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger:
         old = ledger.where(F.size(F.array_intersect("scanned", keys)) > 0).select("blob", F.filter("findings", lambda x: F.array_contains(kinds, x.kind)).alias("findings"))
         found = old.unionByName(found).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
     none = F.array().cast(found.schema["findings"].dataType)
-    return versions.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
+    joined = to_paths(versions.select("doc_id", "blob"), found.where(F.size("findings") > 0), "blob", F.xxhash64("doc_id"))
+    return joined.select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -118,9 +133,13 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger:
     """
     own, found = unused(docs, "blob"), unused(docs, "findings")
     versions = docs.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    hits = secrets(versions.withColumn("doc_id", F.lit(None).cast("long")), ledger=ledger, rules=rules) if ledger is not None else scan_blobs(unseen(versions, None, rules), rules)
-    hits = hits.where(F.size("findings") > 0).select(F.col("blob").alias(own), F.col("findings").alias(found)).dropDuplicates([own])
-    joined = docs.withColumn(unused(docs, "key"), blob_of(F.col(text))).join(hits, F.col(unused(docs, "key")) == F.col(own), "left")
+    if ledger is None:
+        hits = scan_blobs(unseen(versions, None, rules), rules)
+    else:
+        hits = secrets(versions.withColumn("doc_id", F.lit(None).cast("long")), ledger=ledger, rules=rules).where(F.size("findings") > 0).dropDuplicates(["blob"])
+    hits = hits.select(F.col("blob").alias(own), F.col("findings").alias(found))
+    plain = [c for c, kind in docs.dtypes if c != text and not kind.startswith(("map", "variant"))]
+    joined = to_paths(docs.withColumn(own, blob_of(F.col(text))), hits, own, F.xxhash64(F.lit(0), *plain))
     body = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -154,6 +154,6 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fr
             yield take()
 
     tie = F.xxhash64("text")
-    dealt = neighbours(docs, doc_id, text, n).repartition(n, "bucket")
+    dealt = neighbours(docs, doc_id, text, n).repartitionById(n, "bucket")
     ordered = dealt.sortWithinPartitions("bucket", "guest", F.desc("key"), tie, "text").select("bucket", "guest", "doc_id", "text")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -131,16 +131,17 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """
     names, table = learn(docs, doc_id, text, lang, sample)
     model = docs.sparkSession.sparkContext.broadcast(table)  # buckets * languages
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"), *(F.col(c) for c in keep))
+    body = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text"  # a kept text goes to Python once
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), *([] if body == text else [F.col(text).cast("string").alias("__text")]), *(F.col(c) for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "__text"):
-                texts = part.column("__text")
+            for part in blocks(batch, body):
+                texts = part.column(body)
                 best, share = infer(lowered(texts), model.value) if names else (np.full(len(part), -1), np.zeros(len(part)))
                 for i in np.flatnonzero(best >= 0).tolist():  # bytes beyond ASCII may be other signs
-                    body = texts[i].as_py()
-                    if not any(c.isalpha() for c in body[:200]) and not any(map(str.isalpha, body)):
+                    signs = texts[i].as_py()
+                    if not any(c.isalpha() for c in signs[:200]) and not any(map(str.isalpha, signs)):
                         best[i], share[i] = -1, 0.0
                 found = pa.array([names[i] if i >= 0 else UNKNOWN for i in best.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, found, pa.array(share)], [*part.schema.names, "__pred", "__score"])

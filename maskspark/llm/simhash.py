@@ -8,9 +8,9 @@ with more than CELL fingerprints is dealt out as pairs of parts, each pair a uni
 choice of m - radius. There is a cell for each choice, keyed by the bits of its blocks, so no link is lost. m grows with the
 number of fingerprints, so that cells stay small.
 
-Wide fingerprints of distinct shingles, for a similarity: here a near pair differs in too many bits for blocks. Cells are
-keyed by samples of bits, as many samples as it takes for a pair at the least similarity to share a cell with probability
-RECALL; more bits make a sample as the number of fingerprints grows.
+Sets of distinct shingles, for a similarity: here a near pair differs in too many bits for blocks, and bits don't decide.
+Pairs meet by a shingle of their prefixes, the rarest shingles in an order that all sets share, which no similar pair can
+avoid; the exact Jaccard similarity of their sets decides.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions, unused
+from .common import blocks, discard, materialize, partitions, unused
 from .components import components
 from .sketch import shingle_hashes
-from .words import LOWER, mix
+from .words import LOWER, lookup
 
 TILE, CELL = 512, 8192
 _LOWER = LOWER.tobytes()
@@ -219,23 +219,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: flips() and samples() serve wide fingerprints; similar_documents() needs neither.
 WIDTH, RECALL = 4, 0.995
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """SimHash of WIDTH * 64 bits over a text's distinct word shingles."""
-    h = np.unique(shingle_hashes(text or "", shingle))
-    if not len(h):
-        return bytes(8 * WIDTH)
-    counts = np.zeros(64 * WIDTH, np.int64)
-    for i in range(0, len(h), 1 << 12):
-        part = h[i : i + (1 << 12)]
-        with np.errstate(over="ignore"):
-            wide = np.stack([mix(part + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(WIDTH)], axis=1)
-        counts += np.unpackbits(wide.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(counts * 2 > len(h), bitorder="little").tobytes()
-
-
 def flips(similarity: float) -> float:
     """Probability that a bit differs between two sets of equal size with this Jaccard similarity."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -250,37 +237,135 @@ def samples(n: int, similarity: float) -> list[list[int]]:
     return [rng.choice(64 * WIDTH, bits, replace=False).tolist() for _ in range(count)]
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Every row's doc_id and component_id, linking texts whose shingle sets have about that Jaccard similarity or more.
+#: About so many texts are read for the order of shingles, and so many of their most frequent shingles are kept.
+ORDER_TEXTS, ORDER_SHINGLES = 20000, 1 << 19
 
-    The radius is the expected number of differing bits plus two standard deviations, so nearly all pairs at the
-    similarity link, and so do some that are a little less similar. Texts without a word are all alike, as are texts of
-    fewer words than a shingle that are equal; nulls and repeats are as in near_duplicates().
-    """
-    p, size = flips(similarity), 64 * WIDTH
-    radius = int(p * size + 2 * np.sqrt(size * p * (1 - p)))
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(mark, text) of every row; equal texts have equal marks."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(body).alias("mark"), body.alias("text"))
+
+
+def _set_id(h: np.ndarray) -> int:
+    """A signed number for a set of hashes, ascending."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 11)).view(np.int64))
+
+
+def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, ascending, and counts of the most frequent shingles in about ORDER_TEXTS texts, chosen by a hash."""
+    n = max(docs.count(), 1)
+    rows = _texts(docs, text).where(F.pmod(F.xxhash64(F.lit(5), "mark"), F.lit(1 << 20)) < min(1.0, ORDER_TEXTS / n) * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], ["doc_id", "bits"])
+            for part in blocks(batch, "text"):
+                h = np.concatenate([np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["token"])
+
+    tokens = rows.groupBy("mark").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "token long")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toArrow()  # at most ORDER_SHINGLES
+    token, count = counts["token"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def prefix(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first hashes of a set (ascending), the rare ones before the frequent, that one of any similar set's first must equal."""
+    if not len(h):
+        return h
+    at = lookup(order[0], h)
+    by = h[np.argsort(np.where(at >= 0, order[1][at], 0), kind="stable")] if len(order[0]) else h
+    return by[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = rows.mapInArrow(run, "doc_id long, bits binary").withColumn("fp", F.xxhash64("bits"))
-    own, _ = materialize(own, "fingerprints")
-    distinct, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")), "distinct")
-    chosen = samples(distinct.count(), similarity)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have that Jaccard similarity or more; sets are made from the texts again."""
+    spark = docs.sparkSession
+    ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
+    marks = distinct.join(ends, "fp", "left_semi").select("mark")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            image = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, 8 * WIDTH)
-            bits = np.unpackbits(image, axis=1, bitorder="little").astype(np.int64)
-            keys = np.stack([bits[:, s] @ (1 << np.arange(len(s), dtype=np.int64)) * len(chosen) + k for k, s in enumerate(chosen)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["fp", "bits", "cells"])
-
-    dealt = distinct.select("fp", "bits").mapInArrow(cells, "fp long, bits binary, cells array<long>")
-    links, path = materialize(cell_links(dealt.select(F.explode("cells").alias("cell"), "fp", "bits"), radius), "near")
-    out = classes(own.select("doc_id", "fp"), distinct.select("fp", "least"), links)
-    discard(docs.sparkSession, path)
+            for part in blocks(batch, "text"):
+                found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["fp", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    own = _texts(docs, text).join(marks, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
+    known, path = materialize(own.select("text").mapInArrow(sets, "fp long, hashes binary").dropDuplicates(["fp"]), "sets")
+    joined = pairs.join(known.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+    out, _ = materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    discard(spark, path)
+    return out
+
+
+def similar_links(distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all sets of distinct (fp, size, tokens, mark) with that Jaccard similarity or more.
+
+    Sets that similar share one of their prefixes' shingles. First every set is held against the two smallest of those it
+    shares most shingles with; then all pairs with a common shingle that these links don't connect yet are.
+    """
+    rows = distinct.select("fp", "size", F.posexplode("tokens").alias("pos", "token"))
+    each = Window.partitionBy("token")
+    shared, path = materialize(rows.withColumn("n", F.count("*").over(each)).where("n > 1").drop("n"), "shared")
+
+    def may(x: str, y: str) -> Column:
+        """By sizes and places: what follows the first common shingle suffices for the similarity."""
+        left = lambda k: F.col(f"{k}.size") - F.col(f"{k}.pos")
+        need = F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
+        sizes = F.least(f"{x}.size", f"{y}.size") >= F.lit(similarity) * F.greatest(f"{x}.size", f"{y}.size") - 1e-6
+        return sizes & (F.least(left(x), left(y)) >= need)
+
+    entry = F.struct("fp", "size", "pos")
+    led = shared.select(entry.alias("x"), F.min(entry).over(each).alias("y")).where((F.col("x.fp") != F.col("y.fp")) & may("x", "y"))
+    led = led.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count("*").alias("n"))
+    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    led, _ = materialize(led.withColumn("rank", most).where("rank <= 2").select("a", "b"), "led")
+    first = verified(led, distinct, docs, text, shingle, similarity)
+    roots, _ = materialize(components(first), "roots")
+    split = shared.join(roots, shared.fp == roots.vertex, "left").select("token", "fp", "size", "pos", F.coalesce("root", "fp").alias("root"))
+    split = split.where("size > 1").withColumn("least", F.min("root").over(each)).withColumn("most", F.max("root").over(each)).where("least < most")
+    split, split_path = materialize(split.select("token", "fp", "size", "pos", "root"), "split")
+    x, y = split.alias("x"), split.alias("y")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & may("x", "y"))
+    rest, _ = materialize(rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "rest")
+    second = verified(rest, distinct, docs, text, shingle, similarity)
+    for done in (path, split_path):
+        discard(docs.sparkSession, done)
+    return first.unionAll(second)
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Every row's doc_id and component_id, linking texts whose sets of shingles have that Jaccard similarity or more.
+
+    Links are decided exactly, and none is lost (see similar_links). Texts without a word are all alike, as are texts of
+    fewer words than a shingle that are equal; nulls and repeats are as in near_duplicates().
+    """
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(frequent(docs, text, shingle))  # at most ORDER_SHINGLES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
+                tokens = [prefix(h, order.value, similarity).view(np.int64) for h in sets]
+                columns = [part.column(0), part.column(1), pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "size", "tokens"])
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"))
+    own, _ = materialize(rows.mapInArrow(run, "doc_id long, mark long, fp long, size long, tokens array<long>"), "fingerprints")
+    distinct, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "distinct")
+    out = classes(own.select("doc_id", "fp"), distinct.select("fp", "least"), similar_links(distinct, docs, text, shingle, similarity))
     return out.select("doc_id", "component_id")
 
 

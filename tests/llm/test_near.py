@@ -134,6 +134,60 @@ def test_similar_documents(documents, spark, monkeypatch):
     assert simhash.similar_documents(documents([])).count() == 0
 
 
+def shared(k, n, name):
+    """Two texts of n words each, whose five-word shingles agree in the first k words only."""
+    return [" ".join([f"{name}{i}" for i in range(k)] + [f"{name}{side}{i}" for i in range(n - k)]) for side in "xy"]
+
+
+def jaccard(a, b):
+    a, b = (set(sketch.shingle_hashes(t).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_pairs_below_the_similarity_do_not_link(documents):
+    rows, below = [], 0
+    for k in range(160):
+        rows += [(2 * k + i, t) for i, t in enumerate(shared(76 + k % 20, 100, f"n{k}q"))]
+        below += 0.55 < jaccard(rows[-1][1], rows[-2][1]) < 0.8
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows)).collect()}
+    assert below > 80
+    for k in range(160):
+        assert (got[2 * k + 1] == 2 * k) == (jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8)
+
+
+def test_no_pair_at_the_similarity_is_lost(documents):
+    # four of five shingles, the similarity just reached; and a common passage that many texts hold
+    rows = []
+    for k in range(1300):
+        a = [f"s{k}q{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:8]))]
+    passage = " ".join(f"common{i}" for i in range(30))
+    rows += [(10000 + i, f"{passage} {t}") for i, t in enumerate(t for k in range(60) for t in shared(94, 100, f"m{k}q"))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows)).collect()}
+    texts = dict(rows)
+    assert jaccard(texts[0], texts[1]) == 0.8
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(1300))
+    assert all(got[10000 + 2 * k] == got[10001 + 2 * k] == 10000 + 2 * k for k in range(60))
+
+
+def test_similar_components_against_brute_force(documents):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(25):
+        words = [f"b{k % 5}w{x}" for x in rng.integers(0, 400, 40)]
+        for _ in range(8):
+            words = list(words)
+            words[rng.integers(0, len(words))] = f"e{rng.integers(0, 9)}"
+            rows.append((len(rows), " ".join(words)))
+    root = list(range(len(rows)))
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if jaccard(a, b) >= 0.8 and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if x == high else x for x in root]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == root and 25 < len(set(root)) < 190
+
+
 def test_samples_reach_the_recall():
     for n in (10, 10**4, 10**6, 10**8):
         chosen = simhash.samples(n, 0.8)

@@ -91,6 +91,27 @@ def test_verbatim_and_reparameterised_questions(documents, spark):
     assert got[0, 0].coverage == 1.0
 
 
+def test_names_that_open_sentences(documents, spark):
+    item = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
+    only = "Tom sold 48 clips to his friends in the month of April. Tom sold half as many in the next month"
+    texts = [item.replace("Tom", "Anna"), f"Some words first. {item.replace('Tom', 'Bertrand').replace('5', '9')} And more.", only.replace("Tom", "Zoe"), "The house has a garden. The garden has a gate. How many gates does a garden have?"]
+    got = pairs(documents, spark, texts, [item, only])
+    assert set(got) == {(0, 0), (1, 0), (2, 1)} and all(r.reparameterised for r in got.values())
+
+
+def test_short_items_inside_longer_texts(documents, spark):
+    ask = "What is the capital of France?"
+    texts = [f"Here is a quiz about countries. {ask} Answer it in a single word.", f"We start with it. {ask.replace('France', 'Norway')} Then more words follow here.", "the capital is what it is, and the rest of it follows", "Paris is the capital of France, as many people know"]
+    got = pairs(documents, spark, texts, [ask])
+    assert set(got) == {(0, 0), (1, 0)} and not got[0, 0].reparameterised and got[1, 0].reparameterised
+
+
+def test_items_dense_in_values(documents, spark):
+    dense = "Add 5 km 3 hours Anna 7 kg Bob 9 miles 4 days Carl 8 grams 2 weeks"
+    got = pairs(documents, spark, [f"Before it. {dense}. After it, more words.", f"Before it. {dense.replace('5', '6').replace('3', '1').replace('7', '2').replace('9', '8').replace('4', '3')}. After it."], [dense])
+    assert set(got) == {(0, 0)} and not got[0, 0].reparameterised
+
+
 def test_short_items_match_whole_texts_only(documents, spark):
     got = pairs(documents, spark, ["Short one!", "a short one that goes on and on", "short one"], ["short one"])
     assert set(got) == {(0, 0), (2, 0)}

@@ -1,7 +1,7 @@
 """Language identification by mixture inference.
 
 Every word has a likelihood under each language, from the language's character n-grams. Expectation-maximisation estimates
-the proportions of the languages in a document; of the sets of its most frequent languages, the one with the highest
+the proportions of the languages in a document; of the sets of its most frequent languages, up to all of them, the one with the highest
 likelihood less a penalty for each further language is selected, and the prediction is the largest language in it.
 """
 
@@ -13,13 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .common import blocks
 from .machine import held_out
 from .words import Block, block_of, byte_table, spans
 
-BUCKETS_LOG2, SMOOTHING, ROUNDS, MOST, PENALTY = 16, 0.5, 12, 3, 3.0
+BUCKETS_LOG2, SMOOTHING, ROUNDS, PENALTY = 16, 0.5, 12, 3.0
 UNKNOWN = "und"
 _LETTER = byte_table(lambda b: 97 <= b <= 122 or 65 <= b <= 90 or b >= 128).astype(bool)
 
@@ -47,16 +47,17 @@ def word_grams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((gram * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_LOG2)).astype(np.int64), edges, t
 
 
-def infer(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text: the index of its language (-1: no letter) and the language's share of the words (0 to 1).
+def infer(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: the index of its language (-1: no letter), that language's share of the words among all languages (0
+    to 1), and the proportions of the languages in the selected set (0 for the others; all 0 without a letter).
 
     table: log likelihoods of grams by language, a row per bucket.
     """
     n, languages = len(block.offsets) - 1, table.shape[1]
-    best, share = np.full(n, -1), np.zeros(n)
+    best, share, selected = np.full(n, -1), np.zeros(n), np.zeros((n, languages))
     grams, edges, owner = word_grams(block)
     if not len(grams):
-        return best, share
+        return best, share, selected
     like = np.add.reduceat(table[grams], edges, axis=0).astype(np.float64)
     like -= like.max(axis=1, keepdims=True)
     p = np.exp(np.maximum(like, -60))
@@ -73,20 +74,23 @@ def infer(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if moved < 1e-3:
             break
     order = np.argsort(-mix, axis=1, kind="stable")
-    top, value = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf)
-    result = np.zeros(len(texts))
-    for k in range(1, min(MOST, languages) + 1):
-        allowed = np.zeros_like(mix, bool)
-        np.put_along_axis(allowed, order[:, :k], True, axis=1)
-        part = np.where(allowed, np.maximum(mix, 1e-9), 0)
-        part /= part.sum(axis=1, keepdims=True)
-        fit = np.add.reduceat(np.log(np.maximum((p * part[row]).sum(axis=1), 1e-30)), first) - PENALTY * (k - 1) * np.log(words + 1)
+    weight = np.take_along_axis(np.maximum(mix, 1e-9), order, axis=1)
+    size, value = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf)
+    reached, total = np.zeros(len(row)), np.zeros(len(texts))
+    word = np.arange(len(row))
+    for k in range(languages):
+        reached += p[word, order[row, k]] * weight[row, k]
+        total += weight[:, k]
+        fit = np.add.reduceat(np.log(np.maximum(reached / total[row], 1e-30)), first) - PENALTY * k * np.log(words + 1)
         better = fit > value
-        value[better] = fit[better]
-        top[better] = order[better, 0]
-        result[better] = part[better, order[better, 0]]
-    best[texts], share[texts] = top, result
-    return best, share
+        value[better], size[better] = fit[better], k + 1
+    part = np.where(np.arange(languages) < size[:, None], weight, 0)
+    part /= part.sum(axis=1, keepdims=True)
+    best[texts], share[texts] = order[:, 0], mix[np.arange(len(texts)), order[:, 0]]
+    chosen = np.zeros_like(mix)
+    np.put_along_axis(chosen, order, part, axis=1)
+    selected[texts] = chosen
+    return best, share, selected
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1500) -> tuple[list[str], np.ndarray]:
@@ -123,10 +127,11 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1500, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row, after the columns of keep.
+    """(doc_id, held_out, lang_pred, score, share, languages, proportions) of every row, after the columns of keep.
 
     lang_pred is a learned language, or und where the text is null or has no letter; score is the language's share in the
-    selected set (0 for und). A null doc_id isn't held out. Equal texts have equal results. Without any row to learn from
+    selected set, share the one among all languages (both 0 for und). languages is the selected set, the largest first,
+    and proportions are its languages' shares in it; both are empty for und. A null doc_id isn't held out. Equal texts have equal results. Without any row to learn from
     all are und. Columns other than those named are not read. An empty table gives no rows.
     """
     names, table = learn(docs, doc_id, text, lang, sample)
@@ -138,15 +143,21 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         for batch in batches:
             for part in blocks(batch, body):
                 texts = part.column(body)
-                best, share = infer(lowered(texts), model.value) if names else (np.full(len(part), -1), np.zeros(len(part)))
+                best, share, selected = infer(lowered(texts), model.value) if names else (np.full(len(part), -1), np.zeros(len(part)), np.zeros((len(part), 0)))
                 for i in np.flatnonzero(best >= 0).tolist():  # bytes beyond ASCII may be other signs
                     signs = texts[i].as_py()
                     if not any(c.isalpha() for c in signs[:200]) and not any(map(str.isalpha, signs)):
-                        best[i], share[i] = -1, 0.0
+                        best[i], share[i], selected[i] = -1, 0.0, 0.0
+                order = np.argsort(-selected, axis=1, kind="stable")
+                sets = [[k for k in ks if x[k] > 0] for ks, x in zip(order.tolist(), selected.tolist())]
                 found = pa.array([names[i] if i >= 0 else UNKNOWN for i in best.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, found, pa.array(share)], [*part.schema.names, "__pred", "__score"])
+                score = pa.array([selected[i, k] if k >= 0 else 0.0 for i, k in enumerate(best.tolist())], pa.float64())
+                lists = [pa.array([[names[k] for k in ks] for ks in sets], pa.list_(pa.string())), pa.array([selected[i, ks].tolist() if ks else [] for i, ks in enumerate(sets)], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, found, score, pa.array(share), *lists], [*part.schema.names, *added])
 
-    extended = StructType([*rows.schema.fields, StructField("__pred", StringType()), StructField("__score", DoubleType())])
+    added = ["__pred", "__score", "__share", "__languages", "__proportions"]
+    kinds = [StringType(), DoubleType(), DoubleType(), ArrayType(StringType()), ArrayType(DoubleType())]
+    extended = StructType([*rows.schema.fields, *(StructField(c, kind) for c, kind in zip(added, kinds))])
     out = rows.mapInArrow(run, extended)
     own = [F.col(c) for c in keep]
-    return out.select(*own, *([] if doc_id in keep else [F.col("__id").alias("doc_id")]), held_out(F.col("__id"), 4, 2).alias("held_out"), F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return out.select(*own, *([] if doc_id in keep else [F.col("__id").alias("doc_id")]), held_out(F.col("__id"), 4, 2).alias("held_out"), F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"), *(F.col(f"__{c}").alias(c) for c in ("share", "languages", "proportions")))

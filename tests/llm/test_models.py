@@ -68,6 +68,25 @@ def test_mixtures_and_awkward_rows(spark, sf):
     assert got[1006].lang_pred in ("fr", "de")
 
 
+def evenly(spark, sf, n):
+    """Texts of n languages in equal parts, and the table of documents."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang").where("lang is not null")
+    names = sorted(r.lang for r in docs.select("lang").distinct().collect())[:n]
+    parts = [docs.where(f"lang = '{x}'").orderBy("doc_id").limit(12).toPandas().text.str.cat(sep=" ").split()[:500] for x in names]
+    assert len(names) == n and all(len(p) == 500 for p in parts)
+    extra = spark.createDataFrame([(100000, " ".join(w for p in parts for w in p), None)], docs.schema)
+    return names, docs.unionByName(extra)
+
+
+def test_sets_of_four_languages(spark, sf):
+    for n in (2, 4):
+        names, docs = evenly(spark, sf, n)
+        (row,) = languages.identify(docs).where("doc_id = 100000").collect()
+        assert sorted(row.languages) == names and abs(sum(row.proportions) - 1) < 1e-9
+        assert all(abs(p - 1 / n) < 0.06 for p in row.proportions) and row.proportions == sorted(row.proportions, reverse=True)
+        assert row.lang_pred == row.languages[0] and row.score == row.proportions[0] and abs(row.share - 1 / n) < 0.06
+
+
 def test_languages_without_rows_to_learn_from(documents, spark):
     docs = documents(AWKWARD, extra=True).drop("lang").selectExpr("*", "CAST(NULL AS string) AS lang")
     got = languages.identify(docs, keep=("doc_id", "text")).collect()

@@ -13,14 +13,15 @@ from maskspark.llm import languages, ledger, packing, simhash, templates
 from maskspark.llm.common import materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose language covers a smaller share of their words are rejected, as are those without any letter.
+#: Documents whose largest language covers a smaller share of their words, among all languages, are rejected, as are those
+#: without any letter.
 LEAST_LANGUAGE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; und and even mixtures go."""
+    """Documents with a language; und and even mixtures of four languages and more go, those of two or three stay."""
     found = languages.identify(docs, keep=COLUMNS)
-    return found.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("share") >= LEAST_LANGUAGE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

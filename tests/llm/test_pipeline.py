@@ -2,6 +2,7 @@ import corpus_pipeline
 from maskspark.llm import packing
 from maskspark.llm.common import read
 
+from .test_models import evenly
 from .test_tokens import check_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,6 +33,12 @@ def test_stages(spark, sf):
     check_pieces(seen["pack"], [(r.doc_id, r.text) for r in seen["secret_scan"]])
 
 
+def test_even_mixtures_go(spark, sf):
+    for n, stays in ((2, 1), (4, 0)):
+        docs = evenly(spark, sf, n)[1].selectExpr("doc_id", "text", "lang", "'x' AS source", "length(text) AS n_chars")
+        assert corpus_pipeline.language_id(spark, docs, sf).where("doc_id = 100000").count() == stays
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == [c.split()[0] for c in packing.SCHEMA.split(", ")] and out.count() > 100

@@ -279,11 +279,38 @@ def prefix(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: floa
     return by[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
 
 
+def parity(h: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of hashes have i as their low bits; at least as many bits as hashes, a power of two."""
+    size = 1 << max(6, int(len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """At most the number of hashes that one of two sets has and the other hasn't, from their parities."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def close(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but for those whose sets' parities differ too much for the similarity: no similar pair goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = (1 - similarity) / (1 + similarity)
+        for batch in batches:
+            good = [apart(x.as_py(), y.as_py()) <= most * n + 1e-6 for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    end = lambda k, x: distinct.select(F.col("fp").alias(k), F.col("parity").alias(x), F.col("size").alias(f"n{x}"))
+    joined = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b")
+    return joined.select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n")).mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have that Jaccard similarity or more; sets are made from the texts again."""
     spark = docs.sparkSession
+    pairs, _ = materialize(close(pairs, distinct, similarity), "close")
     ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-    marks = distinct.join(ends, "fp", "left_semi").select("mark")
+    marks, _ = materialize(distinct.select("fp", "mark").join(ends, "fp", "left_semi").select("mark").distinct(), "marks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +336,7 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text: str,
 
 
 def similar_links(distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all sets of distinct (fp, size, tokens, mark) with that Jaccard similarity or more.
+    """Links (a, b) that connect all sets of distinct (fp, size, tokens, parity, mark) with that Jaccard similarity or more.
 
     Sets that similar share one of their prefixes' shingles. First every set is held against the two smallest of those it
     shares most shingles with; then all pairs with a common shingle that these links don't connect yet are.
@@ -358,13 +385,13 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             for part in blocks(batch, "text"):
                 sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
                 tokens = [prefix(h, order.value, similarity).view(np.int64) for h in sets]
-                columns = [part.column(0), part.column(1), pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "size", "tokens"])
+                columns = [part.column(0), part.column(1), pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array([parity(h) for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "size", "tokens", "parity"])
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    own, _ = materialize(rows.mapInArrow(run, "doc_id long, mark long, fp long, size long, tokens array<long>"), "fingerprints")
-    distinct, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "distinct")
+    own, _ = materialize(rows.mapInArrow(run, "doc_id long, mark long, fp long, size long, tokens array<long>, parity binary"), "fingerprints")
+    distinct, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity")), "distinct")
     out = classes(own.select("doc_id", "fp"), distinct.select("fp", "least"), similar_links(distinct, docs, text, shingle, similarity))
     return out.select("doc_id", "component_id")
 

@@ -188,6 +188,14 @@ def test_similar_components_against_brute_force(documents):
     assert [got[i] for i in range(len(rows))] == root and 25 < len(set(root)) < 190
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n, k in itertools.product((0, 1, 5, 64, 65, 700), (0, 1, 30, 600)):
+        both, x, y = (np.unique(rng.integers(0, 2**64, m, dtype=np.uint64)) for m in (n, k, k // 2))
+        a, b = np.union1d(both, x), np.union1d(both, y)
+        assert simhash.apart(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
+
+
 def test_samples_reach_the_recall():
     for n in (10, 10**4, 10**6, 10**8):
         chosen = simhash.samples(n, 0.8)

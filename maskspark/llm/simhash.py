@@ -199,8 +199,13 @@ def classes(own: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
     """
     roots, _ = materialize(components(links), "roots")
     grouped = distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(grouped.join(least, "root").select("fp", "component_id"), "fp")
+    grouped, path = materialize(grouped, "grouped")
+    # a table of its own, so that both sides of the join are plain exchanges, which Spark splits where one root has many rows
+    least, least_path = materialize(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named, _ = materialize(grouped.join(least, "root").select("fp", "component_id"), "named")
+    for done in (path, least_path):
+        discard(own.sparkSession, done)
+    return own.join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:

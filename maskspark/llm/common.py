@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one vectorised block holds, unless a single document is longer.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 17
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -8,14 +8,15 @@ with more than CELL fingerprints is dealt out as pairs of parts, each pair a uni
 choice of m - radius. There is a cell for each choice, keyed by the bits of its blocks, so no link is lost. m grows with the
 number of fingerprints, so that cells stay small.
 
-Sets of distinct shingles, for a similarity: here a near pair differs in too many bits for blocks, and bits don't decide.
-Pairs meet by a shingle of their prefixes, the rarest shingles in an order that all sets share, which no similar pair can
-avoid; the exact Jaccard similarity of their sets decides.
+Sets of distinct shingles, for a similarity: here the bits are parities, of which a pair's can't differ in more bits than the
+sets do in shingles, so that no similar pair is lost as SimHash bits would lose it. Cells are the shingles of the sets' prefixes,
+the rarest in an order that all sets share, one of which no similar pair can avoid. Tiles are compared by exclusive-or and bit
+counts as above, with a radius by the sets' sizes, and the exact Jaccard similarity of the pairs within it decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, discard, materialize, partitions, unused
 from .components import components
-from .sketch import shingle_hashes
-from .words import LOWER, lookup
+from .words import LOWER, block_of, lookup, shingles
 
 TILE, CELL = 512, 8192
 _LOWER = LOWER.tobytes()
@@ -91,9 +91,9 @@ def cell_keys(fp, n: int, radius: int) -> list:
 def tile_links(ids: np.ndarray, bits: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect what the fingerprints within the radius connect (a spanning forest of each pair of tiles).
 
-    bits: a row of uint64 for each id. side: 0 for all if every pair counts, else 0 and 1, and only pairs across count.
+    bits: a uint64 for each id. side: 0 for all if every pair counts, else 0 and 1, and only pairs across count.
     """
-    pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    pop = np.bitwise_count(bits).astype(np.int64)
     order = np.argsort(pop, kind="stable")
     ids, bits, side, pop = ids[order], bits[order], side[order], pop[order]
     within = not side.any()
@@ -106,12 +106,7 @@ def tile_links(ids: np.ndarray, bits: np.ndarray, side: np.ndarray, radius: int)
                 break  # later tiles have larger counts still
             if pop[one[0]] - pop[two[-1]] > radius:
                 continue
-            apart = np.bitwise_count(bits[one, 0][:, None] ^ bits[two, 0][None, :])
-            if bits.shape[1] > 1:
-                apart = apart.astype(np.uint16)
-                for k in range(1, bits.shape[1]):
-                    apart += np.bitwise_count(bits[one, k][:, None] ^ bits[two, k][None, :])
-            near = apart <= radius
+            near = np.bitwise_count(bits[one][:, None] ^ bits[two][None, :]) <= radius
             if within and one is two:
                 np.fill_diagonal(near, False)
             out += [(int(ids[one[a]]), int(ids[two[b]])) for a, b in _forest(near)]
@@ -139,10 +134,11 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def cell_links(cells: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within the radius in cells (cell, fp, bits).
+def cell_links(cells: DataFrame, columns: list[str], compare: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """Pairs (a, b) that compare finds among rows (cell, fp, *columns) of equal cell; all columns are longs.
 
-    fp: a number for each fingerprint; bits: its bits as little-endian uint64, or null if they are fp itself.
+    compare: rows (cell, i, j, side, fp, *columns) and the bounds of units of work in them, runs of equal (cell, i, j). In a
+    unit with i < j only pairs across sides 0 and 1 count.
     """
     spark = cells.sparkSession
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
@@ -150,46 +146,44 @@ def cell_links(cells: DataFrame, radius: int) -> DataFrame:
     cells = cells.join(sizes, "cell", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(0)) / CELL).cast("int"))
     part = F.pmod(F.xxhash64("fp", "cell"), F.greatest("parts", F.lit(1))).cast("int")
     dealt = cells.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, greatest(parts, 1) - 1)")))
-    units = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "fp", "bits")
+    units = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "fp", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (cell, i, j): each run of equal keys is one unit of work of about 2 * CELL rows at most."""
+        """Rows come sorted by (cell, i, j); a unit has about 2 * CELL rows at most."""
         rest: list[np.ndarray] = []
 
-        def links(unit: np.ndarray) -> list[tuple[int, int]]:
-            return tile_links(unit[:, 4], unit[:, 5:].astype(np.int64).view(np.uint64), unit[:, 3], radius) if len(unit) > 1 else []
-
-        def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        def table(rows: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if found := compare(rows, bounds):
+                pairs = np.array(found, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]], axis=1)
-            wide = batch.column(5).null_count == 0
-            bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<i8").reshape(len(keys), -1) if wide else keys[:, 4:5]
-            rows = np.concatenate([keys, bits], axis=1)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
             rows = np.concatenate([*rest, rows]) if rest else rows
-            edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            found, last = [], 0
-            for edge in edges.tolist():
-                if edge - last > 1:
-                    found += links(rows[last:edge])
-                last = edge
-            rest = [rows[last:]]
-            if found:
-                yield table(found)
-        if rest and (found := links(rest[0])):
-            yield table(found)
+            bounds = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1])
+            rest = [rows[bounds[-1] :]]
+            if len(bounds) > 1:
+                yield from table(rows[: bounds[-1]], bounds)
+        if rest:
+            yield from table(rest[0], np.array([0, len(rest[0])]))
 
     return units.repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_links(fps: DataFrame, n: int, radius: int = 3) -> DataFrame:
     """Links (a, b) that connect all of n distinct 64-bit fingerprints (fp) within the radius."""
+
+    def compare(rows: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if b - a > 1:
+                out += tile_links(rows[a:b, 4], np.ascontiguousarray(rows[a:b, 4]).view(np.uint64), rows[a:b, 3], radius)
+        return out
+
     cells = fps.select("fp", F.explode(F.array(*cell_keys(F.col("fp"), n, radius))).alias("cell"))
-    return cell_links(cells.select("cell", "fp", F.lit(None).cast("binary").alias("bits")), radius)
+    return cell_links(cells.select("cell", "fp"), [], compare)
 
 
 def classes(own: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,26 +218,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: flips() and samples() serve wide fingerprints; similar_documents() needs neither.
-WIDTH, RECALL = 4, 0.995
-
-
-def flips(similarity: float) -> float:
-    """Probability that a bit differs between two sets of equal size with this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def samples(n: int, similarity: float) -> list[list[int]]:
-    """Samples of bits for n wide fingerprints."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / 1024))))
-    meet = (1 - flips(similarity)) ** bits
-    count = 1 if meet >= RECALL else int(np.ceil(np.log(1 - RECALL) / np.log1p(-meet)))
-    rng = np.random.default_rng(17)
-    return [rng.choice(64 * WIDTH, bits, replace=False).tolist() for _ in range(count)]
-
-
 #: About so many texts are read for the order of shingles, and so many of their most frequent shingles are kept.
-ORDER_TEXTS, ORDER_SHINGLES = 20000, 1 << 19
+ORDER_TEXTS, ORDER_SHINGLES = 8000, 1 << 18
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -265,7 +241,7 @@ def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                h = np.concatenate([np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")])
+                h = np.concatenate(shingles(block_of(part.column("text")), shingle))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["token"])
 
     tokens = rows.groupBy("mark").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "token long")
@@ -285,8 +261,8 @@ def prefix(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: floa
 
 
 def parity(h: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of hashes have i as their low bits; at least as many bits as hashes, a power of two."""
-    size = 1 << max(6, int(len(h) - 1).bit_length())
+    """Bit i: whether an odd number of hashes have i as their low bits; at least 256 bits and as many as hashes, a power of two."""
+    size = 1 << max(8, int(len(h) - 1).bit_length())
     return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -296,6 +272,15 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
+#: 64-bit words of a parity that tiles compare.
+FOLDED = 4
+
+
+def folded(x: bytes) -> np.ndarray:
+    """FOLDED words of a parity: the parity by fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, FOLDED), axis=0)
+
+
 def close(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) but for those whose sets' parities differ too much for the similarity: no similar pair goes."""
 
@@ -310,17 +295,18 @@ def close(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame
     return joined.select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n")).mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have that Jaccard similarity or more; sets are made from the texts again."""
+def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> tuple[DataFrame, str]:
+    """The pairs (a, b) whose sets of shingles have that Jaccard similarity or more, and the path of their table; sets are made
+    from the texts again."""
     spark = docs.sparkSession
-    pairs, _ = materialize(close(pairs, distinct, similarity), "close")
+    pairs, pairs_path = materialize(close(pairs, distinct, similarity), "close")
     ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-    marks, _ = materialize(distinct.select("fp", "mark").join(ends, "fp", "left_semi").select("mark").distinct(), "marks")
+    marks, marks_path = materialize(distinct.select("fp", "mark").join(ends, "fp", "left_semi").select("mark").distinct(), "marks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
+                found = shingles(block_of(part.column("text")), shingle)
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["fp", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,45 +321,104 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text: str,
     own = _texts(docs, text).join(marks, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
     known, path = materialize(own.select("text").mapInArrow(sets, "fp long, hashes binary").dropDuplicates(["fp"]), "sets")
     joined = pairs.join(known.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
-    out, _ = materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
-    discard(spark, path)
+    out, out_path = materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    for done in (path, pairs_path, marks_path):
+        discard(spark, done)
+    return out, out_path
+
+
+def may(near: Column, far: Column, similarity: float) -> Column:
+    """Whether two sets (size, pos) of which a common shingle is the first can reach the similarity: what follows suffices."""
+    need = F.lit(similarity / (1 + similarity)) * (near.size + far.size) - 1e-6
+    return F.least(near.size - near.pos, far.size - far.pos) >= need
+
+
+def candidates(rows: np.ndarray, bounds: np.ndarray, similarity: float, small: int = 32) -> list[tuple[int, int]]:
+    """compare for cell_links(): all pairs that may reach the similarity and whose roots differ.
+
+    Columns after fp: root, size of the set, place of the common shingle in it, FOLDED words of its parity. Two parities differ
+    in at most as many bits as the sets have shingles apart. Units of up to small rows are compared together, row by row's
+    distance; larger ones by tiles, whose pairs are skipped if their population counts lie farther apart than any pair may.
+    """
+    most = (1 - similarity) / (1 + similarity)
+    fp, root, size, pos = (rows[:, k] for k in range(4, 8))
+    bits = np.ascontiguousarray(rows[:, 8:]).view(np.uint64)
+    out: list[tuple[int, int]] = []
+
+    def good(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = size[x] + size[y]
+        ok = (root[x] != root[y]) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= similarity / (1 + similarity) * both - 1e-6)
+        ok &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6
+        apart_ = np.zeros(ok.shape, np.int64)
+        for k in range(bits.shape[1]):
+            apart_ += np.bitwise_count(bits[x, k] ^ bits[y, k])
+        return ok & (apart_ <= most * both + 1e-6)
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        out.extend(zip(np.minimum(fp[x], fp[y]).tolist(), np.maximum(fp[x], fp[y]).tolist()))
+
+    lengths = np.diff(bounds)
+    whole = rows[bounds[:-1], 1] == rows[bounds[:-1], 2]
+    few = whole & (lengths <= small)
+    unit = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.flatnonzero(few[unit])
+    for d in range(1, small):
+        x = at[:-d] if d < len(at) else at[:0]
+        x = x[(x + d < len(rows))]
+        x = x[unit[x] == unit[np.minimum(x + d, len(rows) - 1)]]
+        if not len(x):
+            break
+        ok = good(x, x + d)
+        keep(x[ok], x[ok] + d)
+    pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    for u in np.flatnonzero(~few).tolist():
+        own = np.arange(bounds[u], bounds[u + 1])
+        own = own[np.argsort(pop[own], kind="stable")]
+        sides = [own, own] if whole[u] else [own[rows[own, 3] == 0], own[rows[own, 3] == 1]]
+        tiles = [[g[i : i + TILE] for i in range(0, len(g), TILE)] for g in sides]
+        for i, one in enumerate(tiles[0]):
+            for two in tiles[1][i:] if whole[u] else tiles[1]:
+                if max(pop[two[0]] - pop[one[-1]], pop[one[0]] - pop[two[-1]]) > most * (size[one].max() + size[two].max()):
+                    continue
+                ok = good(one[:, None], two[None, :])
+                if whole[u] and one is two:
+                    ok = np.triu(ok, 1)
+                a, b = np.nonzero(ok)
+                keep(one[a], two[b])
     return out
 
 
-def similar_links(distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all sets of distinct (fp, size, tokens, parity, mark) with that Jaccard similarity or more.
+def similar_links(own: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all sets of own (fp, size, tokens) with that Jaccard similarity or more.
 
-    Sets that similar share one of their prefixes' shingles. First every set is held against the two smallest of those it
-    shares most shingles with; then all pairs with a common shingle that these links don't connect yet are.
+    distinct: own's sets once, with mark, size, parity and bits. Sets that are similar share one of their prefixes' shingles.
+    First every set is held against the two smallest of those it shares most shingles with; then, in the cell of every
+    shingle that these links don't connect yet, all pairs of different components.
     """
-    rows = distinct.select("fp", "size", F.posexplode("tokens").alias("pos", "token"))
-    each = Window.partitionBy("token")
-    shared, path = materialize(rows.withColumn("n", F.count("*").over(each)).where("n > 1").drop("n"), "shared")
-
-    def may(x: str, y: str) -> Column:
-        """By sizes and places: what follows the first common shingle suffices for the similarity."""
-        left = lambda k: F.col(f"{k}.size") - F.col(f"{k}.pos")
-        need = F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
-        sizes = F.least(f"{x}.size", f"{y}.size") >= F.lit(similarity) * F.greatest(f"{x}.size", f"{y}.size") - 1e-6
-        return sizes & (F.least(left(x), left(y)) >= need)
-
-    entry = F.struct("fp", "size", "pos")
-    led = shared.select(entry.alias("x"), F.min(entry).over(each).alias("y")).where((F.col("x.fp") != F.col("y.fp")) & may("x", "y"))
-    led = led.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count("*").alias("n"))
+    spark = docs.sparkSession
+    once = own.groupBy("fp").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    rows = once.select("fp", "size", F.posexplode("tokens").alias("pos", "token"))
+    # by aggregation and a join rather than a window, so that a shingle of very many sets isn't one task's
+    leads = rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead < last").select("token", "lead")
+    leads, leads_path = materialize(leads, "leads")
+    shared, shared_path = materialize(rows.join(leads, "token"), "shared")
+    led = shared.where("fp <> lead").groupBy(F.col("fp").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n"))
     most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    led, _ = materialize(led.withColumn("rank", most).where("rank <= 2").select("a", "b"), "led")
-    first = verified(led, distinct, docs, text, shingle, similarity)
-    roots, _ = materialize(components(first), "roots")
-    split = shared.join(roots, shared.fp == roots.vertex, "left").select("token", "fp", "size", "pos", F.coalesce("root", "fp").alias("root"))
-    split = split.where("size > 1").withColumn("least", F.min("root").over(each)).withColumn("most", F.max("root").over(each)).where("least < most")
-    split, split_path = materialize(split.select("token", "fp", "size", "pos", "root"), "split")
-    x, y = split.alias("x"), split.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & may("x", "y"))
-    rest, _ = materialize(rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "rest")
-    second = verified(rest, distinct, docs, text, shingle, similarity)
-    for done in (path, split_path):
-        discard(docs.sparkSession, done)
-    return first.unionAll(second)
+    led, led_path = materialize(led.withColumn("rank", most).where("rank <= 2").select("a", "b"), "led")
+    first, first_path = verified(led, distinct, docs, text, shingle, similarity)
+    roots, roots_path = materialize(components(first), "roots")
+    rooted = shared.where("size > 1").join(roots, shared.fp == roots.vertex, "left").select("token", "fp", "size", "pos", F.coalesce("root", "fp").alias("root"))
+    rooted, rooted_path = materialize(rooted, "rooted")
+    mixed, mixed_path = materialize(rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token"), "mixed")
+    bits = [f"bits{k}" for k in range(FOLDED)]
+    cells = rooted.join(mixed, "token").join(distinct.select("fp", *bits), "fp").withColumnRenamed("token", "cell")
+    rest = cell_links(cells.select("cell", "fp", "root", "size", "pos", *bits), ["root", "size", "pos", *bits], lambda rows, bounds: candidates(rows, bounds, similarity))
+    rest, rest_path = materialize(rest.distinct(), "rest")
+    second, second_path = verified(rest, distinct, docs, text, shingle, similarity)
+    links, _ = materialize(first.unionAll(second), "links")
+    for done in (leads_path, shared_path, led_path, first_path, roots_path, rooted_path, mixed_path, rest_path, second_path):
+        discard(spark, done)
+    return links
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -384,21 +429,28 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent(docs, text, shingle))  # at most ORDER_SHINGLES
+    bits = [f"bits{k}" for k in range(FOLDED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
+                sets = shingles(block_of(part.column("text")), shingle)
                 tokens = [prefix(h, order.value, similarity).view(np.int64) for h in sets]
-                columns = [part.column(0), part.column(1), pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array([parity(h) for h in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "size", "tokens", "parity"])
+                parities = [parity(h) for h in sets]
+                folds = np.array([folded(x) for x in parities], np.uint64).view(np.int64).reshape(len(sets), FOLDED)
+                columns = [part.column(0), part.column(1), pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(folds[:, k]) for k in range(FOLDED))], ["doc_id", "mark", "fp", "size", "tokens", "parity", *bits])
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    own, _ = materialize(rows.mapInArrow(run, "doc_id long, mark long, fp long, size long, tokens array<long>, parity binary"), "fingerprints")
-    distinct, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity")), "distinct")
-    out = classes(own.select("doc_id", "fp"), distinct.select("fp", "least"), similar_links(distinct, docs, text, shingle, similarity))
-    return out.select("doc_id", "component_id")
+    own, own_path = materialize(rows.mapInArrow(run, "doc_id long, mark long, fp long, size long, tokens array<long>, parity binary, " + ", ".join(f"{c} long" for c in bits)), "fingerprints")
+    sets = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("parity").alias("parity"), *(F.first(c).alias(c) for c in bits))
+    distinct, distinct_path = materialize(sets, "distinct")
+    out = classes(own.select("doc_id", "fp"), distinct.select("fp", "least"), similar_links(own, distinct, docs, text, shingle, similarity))
+    out, _ = materialize(out.select("doc_id", "component_id"), "classes")
+    for done in (own_path, distinct_path):
+        discard(spark, done)
+    return out
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

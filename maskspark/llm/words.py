@@ -106,6 +106,38 @@ def hash_of(word: str) -> np.uint64:
     return hashes(data, np.array([0]), np.array([len(data)]))[0]
 
 
+#: Everything but ASCII white space.
+INK = byte_table(lambda b: b not in b" \t\n\v\f\r").astype(bool)
+
+
+def shingles(block: Block, size: int) -> list[np.ndarray]:
+    """For each text the hashes of its distinct shingles of size words, ascending; A-Z count as a-z. A text of fewer words has
+    one shingle, one without words none."""
+    n = len(block.offsets) - 1
+    low = LOWER[block.data] if len(block.data) else block.data
+    a, z, t = spans(INK[low] if len(low) else np.zeros(0, bool), block.offsets)
+    h = hashes(low, a, z)
+    counts = np.bincount(t, minlength=n) if len(t) else np.zeros(n, np.int64)
+    begins = np.cumsum(counts) - counts
+    with np.errstate(over="ignore"):
+        whole = np.zeros(max(0, len(h) - size + 1), np.uint64)
+        for j in range(size):
+            whole = whole * np.uint64(_BASE) + h[j : j + len(whole)]
+        whole = mix(whole + np.uint64(size))
+        out = []
+        for first, k in zip(begins.tolist(), counts.tolist()):
+            if k >= size:
+                out.append(np.unique(whole[first : first + k - size + 1]))
+            elif k:
+                one = np.uint64(0)
+                for word in h[first : first + k]:
+                    one = one * np.uint64(_BASE) + word
+                out.append(mix(np.array([one + np.uint64(k)])))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
 def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Index of each key in a sorted table, or -1."""
     if not len(table):

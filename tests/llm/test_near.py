@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 
@@ -6,6 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from maskspark.llm import components, simhash, sketch
+from maskspark.llm import words as words_module
 
 from .conftest import AWKWARD
 
@@ -140,7 +142,7 @@ def shared(k, n, name):
 
 
 def jaccard(a, b):
-    a, b = (set(sketch.shingle_hashes(t).tolist()) for t in (a, b))
+    a, b = map(plain_shingles, (a, b))
     return len(a & b) / len(a | b)
 
 
@@ -196,10 +198,31 @@ def test_parities_bound_the_difference():
         assert simhash.apart(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
 
 
-def test_samples_reach_the_recall():
-    for n in (10, 10**4, 10**6, 10**8):
-        chosen = simhash.samples(n, 0.8)
-        assert 1 - (1 - (1 - simhash.flips(0.8)) ** len(chosen[0])) ** len(chosen) >= 0.99
+def test_candidates_are_those_of_all_pairs():
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
+    sets = []
+    for k in range(60):
+        base = rng.choice(pool, rng.integers(20, 120), replace=False)
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.choice(pool, 3)])) for _ in range(5)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    folds = np.array([simhash.folded(simhash.parity(h)) for h in sets], np.uint64).view(np.int64)
+    size = np.array([len(h) for h in sets])
+    rows = np.zeros((len(sets), 8 + simhash.FOLDED), np.int64)
+    rows[:, 4] = rows[:, 5] = np.arange(len(sets))
+    rows[:, 6], rows[:, 8:] = size, folds
+    for cells in (np.zeros(len(sets), int), np.arange(len(sets)) // 7):
+        rows[:, 0] = cells
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(sets)]])
+        got = set(simhash.candidates(rows, bounds, 0.8))
+        want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if cells[i] == cells[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+        assert want and want <= got and len(got) < 3 * len(want) + 50
+    halves = np.concatenate([rows, rows])
+    halves[:, 0] = halves[:, 1] = 0
+    halves[:, 2], halves[len(sets) :, 3] = 1, 1
+    halves[len(sets) :, 4:6] += 1000
+    across = set(simhash.candidates(halves, np.array([0, len(halves)]), 0.8))
+    assert {(i, 1000 + i) for i in range(len(sets))} <= across and all(a < 1000 <= b for a, b in across)
 
 
 def test_sketches_merge_and_estimate():
@@ -207,15 +230,50 @@ def test_sketches_merge_and_estimate():
     a, b = rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(0, 2**64, 80, dtype=np.uint64)
     both = np.concatenate([a, b])
     assert (sketch.merge(sketch.scaled(a), sketch.scaled(b)) == sketch.scaled(both)).all()
+    assert (sketch.scaled(b) == np.sort(b[b < np.uint64(2**61)])).all()
     large = np.concatenate([rng.integers(0, 2**64, 60000, dtype=np.uint64), a])
     part = np.concatenate([a[:2500], rng.integers(0, 2**64, 2500, dtype=np.uint64)])
     assert abs(sketch.containment(sketch.scaled(part), sketch.scaled(large)) - 0.5) < 0.15
-    assert sketch.containment(sketch.scaled(a[:9]), sketch.scaled(a[:9])) == 1.0
     none = sketch.scaled(a[:0])
     assert sketch.containment(none, none) == 1.0 and sketch.containment(none, sketch.scaled(a)) == 0.0
     assert (sketch.from_text(sketch.to_text(sketch.scaled(a))) == sketch.scaled(a)).all()
 
 
+def plain_shingles(text, size=5):
+    """Distinct shingles as text, by plain string functions."""
+    words = __import__("re").findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+@functools.cache
+def plain_word(word):
+    return int(words_module.hash_of(word))
+
+
+@functools.cache
+def plain_hash(line):
+    words = [plain_word(w) for w in line.split(" ")]
+    total = 0
+    for w in words:
+        total = (total * words_module._BASE + w) % 2**64
+    return int(words_module.mix(np.array([(total + len(words)) % 2**64], np.uint64))[0])
+
+
+def plain_sketch(text):
+    return sorted(h for h in map(plain_hash, plain_shingles(text)) if h < 2**61)
+
+
+def plain_likeness(a, b):
+    return float(a == b) if not a or not b else len(set(a) & set(b)) / min(len(a), len(b))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abAB \n\x1cé", max_size=60), max_size=5))
+def test_shingles(texts):
+    got = words_module.shingles(words_module.block_of(__import__("pyarrow").array(texts, "string")), 5)
+    assert [x.tolist() for x in got] == [sorted(map(plain_hash, plain_shingles(t))) for t in texts]
+
+
 def brute_edited(rows):
     """Rows in descending order with the edited texts; ties by the operator's hash can't be told here, so ids differ."""
     order = sorted(rows, key=lambda r: -r[0])
@@ -223,21 +281,25 @@ def brute_edited(rows):
     for i, (k, t) in enumerate(order):
         t, n = t or "", order[(i + 1) % len(order)][1] or ""
         cut = len(t) // 3
-        out[k] = (len(t), hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest())
+        edited = t[: len(t) - cut] + n[:cut]
+        own, other, after = map(plain_sketch, (t, edited, n))
+        prints = ["".join(f"{h:016x}" for h in x) for x in (own, other)]
+        out[k] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), *prints, plain_likeness(own, other), plain_likeness(own, after))
     return out
 
 
 def test_edited_pairs(documents, spark):
     rng = np.random.default_rng(4)
-    rows = [(int(k), None if i == 3 else "" if i == 4 else " ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(1, 200)))) for i, k in enumerate(rng.choice(10**6, 120, replace=False))]
+    rows = [(int(k), None if i == 3 else "" if i == 4 else " ".join(f"w{x}" for x in rng.integers(0, 50, 20000 if i == 5 else rng.integers(1, 200)))) for i, k in enumerate(rng.choice(10**6, 120, replace=False))]
     want = brute_edited(rows)
     for parts in ("4", "1", "37"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = sketch.edited_pairs(documents(rows, extra=True)).collect()
-        assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want and len(got) == len(rows)
+        assert {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got} == want and len(got) == len(rows)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    assert sum(r.near_edited > r.near_next for r in got) > 100
+    assert sum(r.near_edited > r.near_next for r in got) > 95
+    assert np.mean([r.near_edited for r in got]) > 0.55 and np.mean([r.near_next for r in got]) < 0.05
     alone = sketch.edited_pairs(documents([(1, "abc def")])).collect()
     assert [(r.doc_id, r.near_next) for r in alone] == [(1, 1.0)]
     assert sketch.edited_pairs(documents([])).count() == 0

@@ -1,7 +1,9 @@
 """Secret scans over an incremental ledger of blobs, in DataFrame expressions alone.
 
 Every version of every text is addressed by its SHA-256. Of the pairs (blob, rule and its version) only those that a
-ledger doesn't have are scanned, each once however many paths hold the blob. Findings are then joined back to all paths.
+ledger doesn't have are scanned, each once however many paths hold the blob. A ledger is a Parquet table that only grows:
+each of its rows has a blob, the keys of rules that it was scanned for, and the findings, each with its rule's key. Findings
+under the keys that are current, and no others, are then joined back to all paths.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import discard, fresh_path, materialize, unused
 
 
 @dataclass(frozen=True)
@@ -50,32 +52,36 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
 
 
+#: A row of a ledger's table.
+LEDGER = "blob string, scanned array<string>, findings array<struct<start: bigint, end: bigint, rule: string>>"
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, findings) of the blobs (blob, text, todo) that have any; todo: keys of the rules to scan for.
 
-    findings: array of (start, rank, kind, end) by start, then by the rules' order; places in code points, end exclusive.
+    findings: array of (start, end, rule), rule being a key; places in code points, end exclusive.
     """
     text = F.col("text")
     hits = []
-    for rank, rule in enumerate(rules):
+    for rule in rules:
         pattern = F.lit(rule.pattern)
         gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
         sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
         inner = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else sizes
-        hit = F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), inner.alias("inner")).alias("places"))
+        hit = F.struct(F.lit(rule.key).alias("rule"), F.lit(rule.least).alias("least"), F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), inner.alias("inner")).alias("places"))
         hits.append(F.when(F.array_contains("todo", rule.key) & text.rlike(rule.pattern), hit))
-    found = blobs.select("blob", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("blob", "hit.rank", "hit.kind", "hit.least", F.posexplode("hit.places").alias("at", "place"))
+    found = blobs.select("blob", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("blob", "hit.rule", "hit.least", F.posexplode("hit.places").alias("at", "place"))
     # the last gap has no match after it
     found = found.where("place.size is not null")
-    before = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = found.withColumn("end", F.sum(F.col("place.gap") + F.col("place.size")).over(before)).where("place.inner >= least")
-    finding = F.struct((F.col("end") - F.col("place.size")).alias("start"), "rank", "kind", "end")
-    return found.groupBy("blob").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
+    finding = F.struct((F.col("end") - F.col("place.size")).alias("start"), "end", "rule")
+    return found.groupBy("blob").agg(F.collect_list(finding).alias("findings"))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
     """(blob, text, todo): each blob of versions (blob, text) once, with the rules that the ledger doesn't have for it."""
-    every = F.array(*(F.lit(r.key) for r in rules))
+    every = F.array(*(F.lit(r.key) for r in rules)).cast("array<string>")
     blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
         return blobs.withColumn("todo", every)
@@ -84,62 +90,79 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return blobs.join(seen, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0).select("blob", "text", "todo")
 
 
-def extend_ledger(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New rows of a ledger (blob, scanned, findings) for the versions in docs; append them to the ledger's table."""
+def new_rows(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that a ledger lacks for the versions in docs: one for each blob with rules that it wasn't scanned for."""
     versions = docs.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     todo = unseen(versions, ledger, rules)
-    found = scan_blobs(todo, rules)
+    # blob by blob in one pass: what was to be scanned, and what was found
+    found = scan_blobs(todo, rules).select("blob", F.array().cast("array<string>").alias("scanned"), "findings")
     none = F.array().cast(found.schema["findings"].dataType)
-    return todo.select("blob", F.col("todo").alias("scanned")).join(found, "blob", "left").withColumn("findings", F.coalesce("findings", none))
+    return todo.select("blob", F.col("todo").alias("scanned"), none.alias("findings")).unionByName(found)
 
 
-#: Parts that the paths of one blob are dealt to; each part meets a copy of the blob's findings, and few blobs have any.
-SALTS = 32
+def extend_ledger(docs: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger in the folder path lacks for the versions in docs, appends it, and returns the whole ledger.
 
+    A missing or empty folder is an empty ledger. A run that is cut off before its append has been committed leaves the ledger
+    as it was; a row that is appended twice changes nothing.
+    """
+    spark = docs.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.schema(LEDGER).parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    new_rows(docs, known, text, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
-def to_paths(paths: DataFrame, found: DataFrame, blob: str, salt: Column) -> DataFrame:
-    """paths left joined with found (blob, findings, without empty ones) by blob; a blob with very many paths is split.
 
-    salt: a number that differs between the paths of a blob.
+def current(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings) of the ledger's blobs with findings of these rules' versions.
+
+    findings: array of (start, rank, kind, end) by start, then by the rules' order. Whatever the ledger has of other versions
+    or in other orders, and rows that it has twice, make no difference.
     """
-    part = unused(paths, "part")
-    copies = found.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return paths.withColumn(part, F.pmod(salt, F.lit(SALTS)).cast("int")).join(copies, [blob, part], "left").drop(part)
+    ranks = {r.key: i for i, r in enumerate(rules)}
+    rank = F.element_at(F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair)), F.col("x.rule"))
+    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("rank") + 1)
+    hits = ledger.select("blob", F.explode("findings").alias("x")).select("blob", F.col("x.start").alias("start"), rank.alias("rank"), F.col("x.end").alias("end")).where("rank is not null")
+    return hits.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "rank", kind.alias("kind"), "end"))).alias("findings"))
+
+
+def to_paths(paths: DataFrame, found: DataFrame, blob: str) -> tuple[DataFrame, str]:
+    """paths left joined with found by blob, and the path of found's table. As found is read from a table of its own, both
+    sides of the join are plain exchanges, which Spark splits where one blob has very many paths."""
+    found, path = materialize(found, "found")
+    return paths.join(found, blob, "left"), path
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, blob, findings) of every row: findings by start, then the rules' order (see scan_blobs).
+    """(doc_id, blob, findings) of every row: findings by start, then the rules' order (see current()).
 
-    With a ledger, only what it lacks is scanned and its findings for these rule versions count as well. Null texts count
-    as empty ones. Equal texts, repeated rows and rows with a null doc_id all get their blob's findings. Other columns are
-    not read. An empty table gives no rows.
+    ledger: one that has all versions in docs for these rules, as extend_ledger() returns it; then no text is scanned. Without
+    it, a ledger of these versions alone is made first. Null texts count as empty ones. Equal texts, repeated rows and rows
+    with a null doc_id all get their blob's findings. Other columns are not read. An empty table gives no rows.
     """
-    versions = docs.select(F.col(doc_id).alias("doc_id"), blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = scan_blobs(unseen(versions.select("blob", "text"), ledger, rules), rules)
-    if ledger is not None:
-        keys = F.array(*(F.lit(r.key) for r in rules))
-        kinds = F.array(*(F.lit(r.kind) for r in rules))
-        old = ledger.where(F.size(F.array_intersect("scanned", keys)) > 0).select("blob", F.filter("findings", lambda x: F.array_contains(kinds, x.kind)).alias("findings"))
-        found = old.unionByName(found).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    none = F.array().cast(found.schema["findings"].dataType)
-    joined = to_paths(versions.select("doc_id", "blob"), found.where(F.size("findings") > 0), "blob", F.xxhash64("doc_id"))
+    if ledger is None:
+        ledger = extend_ledger(docs, fresh_path(docs.sparkSession, "ledger"), text, rules)
+    paths = docs.select(F.col(doc_id).alias("doc_id"), blob_of(F.col(text)).alias("blob"))
+    joined, _ = to_paths(paths, current(ledger, rules), "blob")
+    none = F.array().cast(joined.schema["findings"].dataType)
     return joined.select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the characters of every finding replaced by mark; overlapping findings are replaced together.
 
-    Other columns, null texts and texts without findings stay as they are; no row is lost or repeated.
+    ledger: as in secrets(). Other columns, null texts and texts without findings stay as they are; no row is lost or repeated.
     """
+    spark = docs.sparkSession
     own, found = unused(docs, "blob"), unused(docs, "findings")
-    versions = docs.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    path = None
     if ledger is None:
-        hits = scan_blobs(unseen(versions, None, rules), rules)
-    else:
-        hits = secrets(versions.withColumn("doc_id", F.lit(None).cast("long")), ledger=ledger, rules=rules).where(F.size("findings") > 0).dropDuplicates(["blob"])
-    hits = hits.select(F.col("blob").alias(own), F.col("findings").alias(found))
-    plain = [c for c, kind in docs.dtypes if c != text and not kind.startswith(("map", "variant"))]
-    joined = to_paths(docs.withColumn(own, blob_of(F.col(text))), hits, own, F.xxhash64(F.lit(0), *plain))
+        path = fresh_path(spark, "ledger")
+        ledger = extend_ledger(docs, path, text, rules)
+    hits = current(ledger, rules).select(F.col("blob").alias(own), F.col("findings").alias(found))
+    joined, _ = to_paths(docs.withColumn(own, blob_of(F.col(text))), hits, own)
+    if path is not None:
+        discard(spark, path)
     body = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, dac, languages, ledger, licences, machine, oracles, packing, simhash, sketch, templates
-from .common import read
+from .common import fresh_path, read
 
 #: A conversation whose texts hold the template's own control strings.
 PROBE = "</s>[INST] ok [/INST]"
@@ -50,7 +50,13 @@ def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ledger.secrets(read(spark, sf_dir, "documents"))
+    """The ledger grows twice: the earlier half of the documents is scanned for the base rules; then all documents for all
+    rules, of which only pairs of blob and rule that the ledger lacks are scanned. Findings go from it to all documents."""
+    docs = read(spark, sf_dir, "documents")
+    path = fresh_path(spark, "ledger")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    ledger.extend_ledger(docs.where(F.col("doc_id") <= F.lit(middle)), path, rules=ledger.BASE_RULES)
+    found = ledger.secrets(docs, ledger=ledger.extend_ledger(docs, path))
     count = lambda kind: F.size(F.filter("findings", lambda x: x.kind == kind)).cast("long")
     base = tuple(r.kind for r in ledger.BASE_RULES)
     return found.select(

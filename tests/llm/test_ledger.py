@@ -50,19 +50,39 @@ def test_awkward_rows_and_more_rules(documents):
     assert [k & {r.kind for r in ledger.MORE_RULES} for k in kinds] == [{"pem"}, {"jwt"}, {"forge"}, {"chat"}, {"bearer"}, {"url"}]
 
 
-def test_the_ledger_grows_and_saves_scans(documents, spark):
+def rows_of(found):
+    return sorted((r.doc_id, [tuple(x) for x in r.findings]) for r in found.collect())
+
+
+def test_the_ledger_grows_and_saves_scans(documents, tmp_path):
     first, second = some(60), some(90)
-    docs = documents(first)
-    new = ledger.extend_ledger(docs)
-    book = spark.createDataFrame(new.collect(), new.schema)
-    assert ledger.extend_ledger(docs, book).count() == 0
-    more = ledger.extend_ledger(documents(second), book)
-    assert 0 < more.count() <= 30
-    plain = {r.doc_id: base(r) for r in ledger.secrets(documents(second)).collect()}
-    assert {r.doc_id: base(r) for r in ledger.secrets(documents(second), ledger=book).collect()} == plain
-    new_rules = (*ledger.RULES, ledger.Rule("word", "short"))
-    again = ledger.extend_ledger(docs, book, rules=new_rules).collect()
-    assert again and all(r.scanned == ["word:1"] for r in again)
+    docs, more, path = documents(first), documents(second), f"file://{tmp_path}/ledger"
+    ledger.extend_ledger(docs, path)
+    book = ledger.extend_ledger(docs, path)  # nothing to scan
+    assert ledger.new_rows(docs, book).count() == 0
+    new = ledger.new_rows(more, book).collect()
+    assert 0 < len({r.blob for r in new}) <= 30
+    book = ledger.extend_ledger(more, path)
+    assert rows_of(ledger.secrets(more, ledger=book)) == rows_of(ledger.secrets(more))
+    # a rule more: only it is scanned for
+    rules = (*ledger.RULES, ledger.Rule("word", "short"))
+    again = ledger.new_rows(docs, book, rules=rules).collect()
+    assert again and {k for r in again for k in r.scanned} | {x.rule for r in again for x in r.findings} == {"word:1"}
+
+
+def test_the_ledger_equals_a_fresh_scan(documents, tmp_path):
+    docs, path = documents([*some(40), (100, "secret: aaaaaaaa b"), (101, "secret: aaaaaaaa b")]), f"file://{tmp_path}/ledger"
+    old = (ledger.Rule("assign", "secret: [a-z]+"), ledger.Rule("hex", "[0-9a-f]{32,}", 0, 32))
+    ledger.extend_ledger(docs, path, rules=old)
+    new = (ledger.Rule("access", "AKIA[A-Z0-9]+", 0, 16), ledger.Rule("assign", "aaaa", version=2))
+    book = ledger.extend_ledger(docs, path, rules=new)
+    for rules in (old, new, (*new, old[1]), new[::-1], old[:1]):  # other versions, removed and reordered rules
+        book = ledger.extend_ledger(docs, path, rules=rules)
+        assert rows_of(ledger.secrets(docs, ledger=book, rules=rules)) == rows_of(ledger.secrets(docs, rules=rules))
+    twice = book.unionAll(book)  # repeated rows
+    assert rows_of(ledger.secrets(docs, ledger=twice, rules=new)) == rows_of(ledger.secrets(docs, rules=new))
+    assert sorted(r.text for r in ledger.redact(docs, ledger=twice, rules=new).collect()) == sorted(r.text for r in ledger.redact(docs, rules=new).collect())
+    assert rows_of(ledger.secrets(documents([]), ledger=book)) == []
 
 
 def test_redaction(documents):

@@ -1,8 +1,9 @@
 """Language identification by mixture inference.
 
 Every word has a likelihood under each language, from the language's character n-grams. Expectation-maximisation estimates
-the proportions of the languages in a document; of the sets of its most frequent languages, up to all of them, the one with the highest
-likelihood less a penalty for each further language is selected, and the prediction is the largest language in it.
+the proportions of the languages in a document. Its largest language, its two largest and so on up to all of them are the
+sets to select from: each set's proportions are estimated anew within it, and the set with the highest likelihood less a
+penalty for each further language is selected. The prediction is the largest language by the proportions in that set.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import blocks
+from .common import blocks, unused
 from .machine import held_out
 from .words import Block, block_of, byte_table, spans
 
-BUCKETS_LOG2, SMOOTHING, ROUNDS, PENALTY = 16, 0.5, 12, 3.0
+BUCKETS_LOG2, SMOOTHING, PENALTY = 16, 0.5, 3.0
+#: A text's proportions have settled once a step moves none of them by so much.
+SETTLED = 1e-3
 UNKNOWN = "und"
 _LETTER = byte_table(lambda b: 97 <= b <= 122 or 65 <= b <= 90 or b >= 128).astype(bool)
 
@@ -47,6 +50,26 @@ def word_grams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((gram * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_LOG2)).astype(np.int64), edges, t
 
 
+def settle(p: np.ndarray, words: np.ndarray, mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each text by expectation-maximisation, from those in mix on, and the texts' log likelihoods with them.
+
+    p: a row of likelihoods for each word, text after text; words: the number of each text's words. A text leaves the loop
+    when its proportions have settled; a language that starts at 0 stays there.
+    """
+    out, fit = mix.copy(), np.zeros(len(mix))
+    live, now = np.arange(len(mix)), mix
+    while len(live):
+        n = words[live]
+        row, first = np.repeat(np.arange(len(live)), n), np.cumsum(n) - n
+        r = p * now[row]
+        total = r.sum(axis=1)
+        after = np.add.reduceat(r / total[:, None], first) / n[:, None]
+        out[live], fit[live] = now, np.add.reduceat(np.log(total), first)
+        on = np.abs(after - now).max(axis=1) >= SETTLED
+        live, now, p = live[on], after[on], p[on[row]]
+    return out, fit
+
+
 def infer(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: the index of its language (-1: no letter), that language's share of the words among all languages (0
     to 1), and the proportions of the languages in the selected set (0 for the others; all 0 without a letter).
@@ -61,35 +84,22 @@ def infer(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     like = np.add.reduceat(table[grams], edges, axis=0).astype(np.float64)
     like -= like.max(axis=1, keepdims=True)
     p = np.exp(np.maximum(like, -60))
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    texts, words = owner[first], np.diff(np.concatenate([first, [len(owner)]]))
+    texts, words = np.unique(owner, return_counts=True)
     row = np.repeat(np.arange(len(texts)), words)
-    mix = np.full((len(texts), languages), 1 / languages)
-    for _ in range(ROUNDS):
-        r = p * mix[row]
-        r /= r.sum(axis=1, keepdims=True)
-        after = np.add.reduceat(r, first, axis=0) / words[:, None]
-        moved = np.abs(after - mix).max()
-        mix = after
-        if moved < 1e-3:
-            break
-    order = np.argsort(-mix, axis=1, kind="stable")
-    weight = np.take_along_axis(np.maximum(mix, 1e-9), order, axis=1)
-    size, value = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf)
-    reached, total = np.zeros(len(row)), np.zeros(len(texts))
-    word = np.arange(len(row))
-    for k in range(languages):
-        reached += p[word, order[row, k]] * weight[row, k]
-        total += weight[:, k]
-        fit = np.add.reduceat(np.log(np.maximum(reached / total[row], 1e-30)), first) - PENALTY * k * np.log(words + 1)
-        better = fit > value
-        value[better], size[better] = fit[better], k + 1
-    part = np.where(np.arange(languages) < size[:, None], weight, 0)
-    part /= part.sum(axis=1, keepdims=True)
-    best[texts], share[texts] = order[:, 0], mix[np.arange(len(texts)), order[:, 0]]
-    chosen = np.zeros_like(mix)
-    np.put_along_axis(chosen, order, part, axis=1)
-    selected[texts] = chosen
+    whole, most = settle(p, words, np.full((len(texts), languages), 1 / languages))
+    place = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1, kind="stable")
+    value, chosen = np.full(len(texts), -np.inf), np.zeros_like(whole)
+    for k in range(1, languages + 1):
+        penalty = PENALTY * (k - 1) * np.log(words + 1)
+        # no set is likelier than all languages together, so texts that can't gain by it any more drop out
+        live = np.flatnonzero(most + 1e-6 * words - penalty > value)
+        start = np.where(place[live] < k, np.maximum(whole[live], 1e-9), 0)
+        mix, fit = settle(p[np.isin(row, live)], words[live], start / start.sum(axis=1, keepdims=True))
+        fit -= penalty[live]
+        better = fit > value[live]
+        value[live[better]], chosen[live[better]] = fit[better], mix[better]
+    top = chosen.argmax(axis=1)
+    best[texts], share[texts], selected[texts] = top, whole[np.arange(len(texts)), top], chosen
     return best, share, selected
 
 
@@ -131,13 +141,17 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     lang_pred is a learned language, or und where the text is null or has no letter; score is the language's share in the
     selected set, share the one among all languages (both 0 for und). languages is the selected set, the largest first,
-    and proportions are its languages' shares in it; both are empty for und. A null doc_id isn't held out. Equal texts have equal results. Without any row to learn from
-    all are und. Columns other than those named are not read. An empty table gives no rows.
+    and proportions are its languages' shares in it; both are empty for und. A null doc_id isn't held out. Equal texts have
+    equal results, repeated rows count once each in learning. Without any row to learn from all are und. keep must not name
+    columns like the results'. Columns other than those named are not read. An empty table gives no rows.
     """
     names, table = learn(docs, doc_id, text, lang, sample)
     model = docs.sparkSession.sparkContext.broadcast(table)  # buckets * languages
-    body = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text"  # a kept text goes to Python once
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), *([] if body == text else [F.col(text).cast("string").alias("__text")]), *(F.col(c) for c in keep))
+    key, body = unused(docs, "id"), unused(docs, "body")
+    if text in keep and dict(docs.dtypes)[text] == "string":
+        body = text  # a kept text goes to Python once
+    rows = docs.select(F.col(doc_id).cast("long").alias(key), *([] if body == text else [F.col(text).cast("string").alias(body)]), *(F.col(c) for c in keep))
+    added = [unused(docs, c) for c in ("lang_pred", "score", "share", "languages", "proportions")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +169,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                 lists = [pa.array([[names[k] for k in ks] for ks in sets], pa.list_(pa.string())), pa.array([selected[i, ks].tolist() if ks else [] for i, ks in enumerate(sets)], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, found, score, pa.array(share), *lists], [*part.schema.names, *added])
 
-    added = ["__pred", "__score", "__share", "__languages", "__proportions"]
     kinds = [StringType(), DoubleType(), DoubleType(), ArrayType(StringType()), ArrayType(DoubleType())]
     extended = StructType([*rows.schema.fields, *(StructField(c, kind) for c, kind in zip(added, kinds))])
     out = rows.mapInArrow(run, extended)
-    own = [F.col(c) for c in keep]
-    return out.select(*own, *([] if doc_id in keep else [F.col("__id").alias("doc_id")]), held_out(F.col("__id"), 4, 2).alias("held_out"), F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"), *(F.col(f"__{c}").alias(c) for c in ("share", "languages", "proportions")))
+    results = (F.col(c).alias(name) for c, name in zip(added, ("lang_pred", "score", "share", "languages", "proportions")))
+    return out.select(*(F.col(c) for c in keep), *([] if doc_id in keep else [F.col(key).alias("doc_id")]), held_out(F.col(key), 4, 2).alias("held_out"), *results)

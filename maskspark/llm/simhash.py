@@ -291,7 +291,7 @@ def close(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     end = lambda k, x: distinct.select(F.col("fp").alias(k), F.col("parity").alias(x), F.col("size").alias(f"n{x}"))
-    joined = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b")
+    joined = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny") - 1e-6)
     return joined.select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n")).mapInArrow(run, "a long, b long")
 
 
@@ -402,7 +402,8 @@ def similar_links(own: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
     leads = rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead < last").select("token", "lead")
     leads, leads_path = materialize(leads, "leads")
     shared, shared_path = materialize(rows.join(leads, "token"), "shared")
-    led = shared.where("fp <> lead").groupBy(F.col("fp").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n"))
+    led = shared.where("fp <> lead").groupBy(F.col("fp").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    led = led.where(F.col("n") >= F.lit((1 - similarity) / 4) * F.col("size"))  # pairs with less in common are left to the second step
     most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
     led, led_path = materialize(led.withColumn("rank", most).where("rank <= 2").select("a", "b"), "led")
     first, first_path = verified(led, distinct, docs, text, shingle, similarity)

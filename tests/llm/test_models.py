@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -87,8 +88,52 @@ def test_sets_of_four_languages(spark, sf):
         assert row.lang_pred == row.languages[0] and row.score == row.proportions[0] and abs(row.share - 1 / n) < 0.06
 
 
+def plain_inference(text, table):
+    """Language, its share among all and the selected set's proportions, word by word and gram by gram."""
+    n = table.shape[1]
+    words = __import__("re").findall("[a-z]+", text)
+    bucket = lambda g: (int.from_bytes(g.encode(), "big") * 2654435761 % 2**32) >> 16
+    p = []
+    for w in words:
+        like = [sum(table[bucket(f" {w} "[i : i + 3])][k] for i in range(len(w))) for k in range(n)]
+        p.append([math.exp(max(x - max(like), -60)) for x in like])
+
+    def mixture(mix):
+        while True:
+            after = [0.0] * n
+            for x in p:
+                total = sum(a * b for a, b in zip(x, mix))
+                after = [c + a * b / total / len(p) for c, a, b in zip(after, x, mix)]
+            if max(abs(a - b) for a, b in zip(after, mix)) < languages.SETTLED:
+                return mix, sum(math.log(sum(a * b for a, b in zip(x, mix))) for x in p)
+            mix = after
+
+    whole, _ = mixture([1 / n] * n)
+    order = sorted(range(n), key=lambda k: -whole[k])
+    best = (-math.inf, None)
+    for k in range(1, n + 1):
+        start = [max(whole[i], 1e-9) if i in order[:k] else 0 for i in range(n)]
+        mix, fit = mixture([x / sum(start) for x in start])
+        best = max(best, (fit - languages.PENALTY * (k - 1) * math.log(len(p) + 1), mix))
+    return max(range(n), key=lambda k: best[1][k]), whole, best[1]
+
+
+def test_inference_against_plain_loops():
+    rng = np.random.default_rng(2)
+    table = np.log(rng.dirichlet(np.full(1 << languages.BUCKETS_LOG2, 0.3), 4).T + 1e-7).astype(np.float32)
+    texts = [" ".join("".join(rng.choice(list("abc"), rng.integers(1, 6))) for _ in range(n)) for n in (1, 2, 5, 30, 30, 90, 4000)]
+    texts.append(" ".join(["cab"] * 40 + ["ba"] * 40))
+    best, share, chosen = languages.infer(languages.lowered(pa.array(texts)), table)
+    sizes = set()
+    for i, t in enumerate(texts):
+        want, whole, mix = plain_inference(t, table)
+        assert best[i] == want and np.allclose(chosen[i], mix, atol=1e-6) and abs(share[i] - whole[want]) < 1e-6
+        sizes.add((np.array(mix) > 0).sum())
+    assert len(sizes) > 1
+
+
 def test_languages_without_rows_to_learn_from(documents, spark):
-    docs = documents(AWKWARD, extra=True).drop("lang").selectExpr("*", "CAST(NULL AS string) AS lang")
+    docs = documents(AWKWARD, extra=True).drop("lang", "id").selectExpr("*", "CAST(NULL AS string) AS lang", "1 AS id", "2 AS body")
     got = languages.identify(docs, keep=("doc_id", "text")).collect()
     assert len(got) == len(AWKWARD) and {r.lang_pred for r in got} == {"und"}
     assert languages.identify(documents([])).count() == 0

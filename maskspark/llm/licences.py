@@ -2,7 +2,7 @@
 
 The automaton holds every template. A text streams through it and gets matching statistics: at each word, the longest
 sequence of words ending there that occurs in some template. Matches that can't be extended and are long enough are
-chained, template by template, into covered spans. Only stretches of words whose neighbours follow each other somewhere in
+chained, template by template, into covered spans, by dynamic programming over places in the text and in the template. Only stretches of words whose neighbours follow each other somewhere in
 a template can match three words or more, so numpy picks these and nothing else enters the automaton.
 """
 
@@ -194,30 +194,48 @@ class Scanner:
             out.append((n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(named)), ",".join(sorted(labels)), score, ",".join(f"{x}:{a}:{z}" for a, z, x in places)))
         return out
 
+    def _anchors(self, matches: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """For each template: (end in the text, end in the template, length) of the longest match at every pair of places where
+        a match ends; shorter ones come by the suffix links."""
+        states = self.automaton.states
+        anchors: dict[int, list[tuple[int, int, int]]] = {}
+        for end, state, length in matches:
+            seen: set[tuple[int, int]] = set()
+            while length >= LEAST:
+                for k, at in states[state].ends:
+                    if (k, at) not in seen:
+                        anchors.setdefault(k, []).append((end, at + 1, length))
+                seen.update(states[state].ends)
+                state = states[state].link
+                length = states[state].length
+        return anchors
+
     def _chains(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int, bool]]:
-        """For each template: the best chain's share of it, first and end word in the text, and whether that names it."""
+        """For each template: its best chain's share of it, first and end word in the text, and whether that names it.
+
+        A chain is a sequence of matches that ascends in the text, skipping up to GAP words there, and in the template. A
+        match adds the words that lie behind the chain in both. The best chain covers most; of equal ones, the one of fewest
+        words in the text, then the first. Found by dynamic programming over the matches' ends.
+        """
         best: dict[int, tuple[float, int, int, bool]] = {}
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template: (first, end, end in template, covered)
-        for end, state, length in matches:
-            seen = set()
-            for k, at in self.automaton.states[state].ends:
-                first, begin = end - length, at + 1 - length
-                chain = open_.get(k)
-                if chain and k not in seen and 0 <= first - chain[1] + LEAST and first - chain[1] <= GAP and -LEAST <= begin - chain[2] <= GAP and at + 1 > chain[2]:
-                    new = max(0, min(length, end - chain[1], at + 1 - chain[2]))
-                    now = (chain[0], end, at + 1, chain[3] + new)
-                    seen.add(k)
-                elif k in seen:
-                    continue
-                else:
-                    now = (first, end, at + 1, length)
-                    if chain and chain[3] > length and first - chain[1] <= GAP:
-                        continue
-                open_[k] = now
-                share = min(1.0, now[3] / self.lengths[k])
-                whole = now[3] == self.lengths[k] == now[1] - now[0] if self.lengths[k] <= SHORT else share >= COVERAGE
-                if (share, whole) > (best.get(k, (0, 0, 0, False))[0], best.get(k, (0, 0, 0, False))[3]):
-                    best[k] = (share, now[0], now[1], whole)
+        for k, anchors in self._anchors(matches).items():
+            anchors.sort()
+            chains: list[tuple[int, int]] = []  # (covered, first) of the best chain that ends with each anchor
+            top = (0, 0, 0)  # covered, minus its words in the text, minus its first word
+            for i, (end, at, length) in enumerate(anchors):
+                now = (length, end - length)
+                for j in range(i - 1, -1, -1):
+                    if anchors[j][0] < end - length - GAP:
+                        break
+                    new = min(length, end - anchors[j][0], at - anchors[j][1])
+                    if new > 0:
+                        now = max(now, (chains[j][0] + new, chains[j][1]))
+                chains.append(now)
+                top = max(top, (now[0], now[1] - end, -now[1]))
+            covered, extent, first = top[0], -top[1], -top[2]
+            share = min(1.0, covered / self.lengths[k])
+            whole = covered == self.lengths[k] == extent if self.lengths[k] <= SHORT else share >= COVERAGE
+            best[k] = (share, first, first + extent, whole)
         return best
 
 

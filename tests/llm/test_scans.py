@@ -73,6 +73,56 @@ def test_long_templates_with_gaps():
     assert row[5] == "mit" and row[6] > 0.85
 
 
+def test_a_repeated_passage_does_not_break_a_chain():
+    b, r, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "brc")
+    scanner = licences.Scanner(base=(), templates=(("own", f"a1 a2 a3 {r} {b} {r} {c} z1 z2 z3"),))
+    row = scanner.scan(block_of(pa.array([f"{b} junk {r} junk {c}"])))[0]
+    assert row[5] == "own" and abs(row[6] - 36 / 54) < 1e-9 and row[7] == "own:0:38"
+
+
+def plain_chain(text, template, ends):
+    """Words that the best chain covers, trying every chain of matches that end at ends."""
+    anchors = []
+    for end in ends:
+        for at in range(1, len(template) + 1):
+            n = 0
+            while n < min(end, at) and text[end - n - 1] == template[at - n - 1]:
+                n += 1
+            if n >= licences.LEAST:
+                anchors.append((end, at, n))
+
+    def longest(last, covered):
+        best = covered
+        for end, at, n in anchors:
+            if not last:
+                best = max(best, longest((end, at), n))
+            elif last[0] < end and last[1] < at and end - n - last[0] <= licences.GAP:
+                best = max(best, longest((end, at), covered + min(n, end - last[0], at - last[1])))
+        return best
+
+    return longest(None, 0)
+
+
+def test_chains_against_brute_force(monkeypatch):
+    monkeypatch.setattr(licences, "LEAST", 2)
+    monkeypatch.setattr(licences, "GAP", 3)
+    rng = random.Random(11)
+    chained = 0
+    for _ in range(200):
+        found = [[rng.choice("abc") for _ in range(rng.randint(3, 10))] for _ in range(2)]
+        text = [rng.choice("abcx") for _ in range(14)]
+        scanner = licences.Scanner(base=(), templates=tuple((str(i), " ".join(s)) for i, s in enumerate(found)))
+        tokens = [scanner.word_of.get(w, -1) for w in text]
+        stats = [*scanner.automaton.stream(tokens), (0, 0)]
+        matches = [(i + 1, *stats[i]) for i in range(len(text)) if stats[i][1] >= 2 and stats[i + 1][1] <= stats[i][1]]
+        got = scanner._chains(matches)
+        for k, template in enumerate(found):
+            best = plain_chain(text, template, [m[0] for m in matches])
+            assert round(got.get(k, (0,))[0] * len(template)) == min(best, len(template))
+            chained += k in got and got[k][2] - got[k][1] > best > 0
+    assert chained > 20
+
+
 ITEM = "A train leaves the station at 40 km per hour and meets Anna after 3 hours of slow travel along the river"
 
 

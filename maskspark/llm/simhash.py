@@ -17,6 +17,7 @@ counts as above, with a radius by the sets' sizes, and the exact Jaccard similar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -333,43 +334,53 @@ def may(near: Column, far: Column, similarity: float) -> Column:
     return F.least(near.size - near.pos, far.size - far.pos) >= need
 
 
-def candidates(rows: np.ndarray, bounds: np.ndarray, similarity: float, small: int = 32) -> list[tuple[int, int]]:
+def candidates(rows: np.ndarray, bounds: np.ndarray, similarity: float, nearest: bool = False, small: int = 32) -> list[tuple[int, int]]:
     """compare for cell_links(): all pairs that may reach the similarity and whose roots differ.
 
     Columns after fp: root, size of the set, place of the common shingle in it, FOLDED words of its parity. Two parities differ
     in at most as many bits as the sets have shingles apart. Units of up to small rows are compared together, row by row's
     distance; larger ones by tiles, whose pairs are skipped if their population counts lie farther apart than any pair may.
+    nearest: only the pair of fewest differing bits for each root in each unit.
     """
     most = (1 - similarity) / (1 + similarity)
     fp, root, size, pos = (rows[:, k] for k in range(4, 8))
     bits = np.ascontiguousarray(rows[:, 8:]).view(np.uint64)
-    out: list[tuple[int, int]] = []
+    lengths = np.diff(bounds)
+    unit = np.repeat(np.arange(len(lengths)), lengths)
+    none = np.zeros(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none)]  # both rows, differing bits
 
-    def good(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def good(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = size[x] + size[y]
         ok = (root[x] != root[y]) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= similarity / (1 + similarity) * both - 1e-6)
         ok &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6
-        apart_ = np.zeros(ok.shape, np.int64)
+        differ = np.zeros(ok.shape, np.int64)
         for k in range(bits.shape[1]):
-            apart_ += np.bitwise_count(bits[x, k] ^ bits[y, k])
-        return ok & (apart_ <= most * both + 1e-6)
+            differ += np.bitwise_count(bits[x, k] ^ bits[y, k])
+        return ok & (differ <= most * both + 1e-6), differ
 
-    def keep(x: np.ndarray, y: np.ndarray) -> None:
-        out.extend(zip(np.minimum(fp[x], fp[y]).tolist(), np.maximum(fp[x], fp[y]).tolist()))
+    def least(x: np.ndarray, y: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pair of fewest differing bits for each unit and root."""
+        owner, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+        order = np.lexsort((pair, differ[pair], root[owner], unit[owner]))
+        u, r = unit[owner[order]], root[owner[order]]
+        first = np.concatenate([[True], (u[1:] != u[:-1]) | (r[1:] != r[:-1])]) if len(order) else np.zeros(0, bool)
+        chosen = np.unique(pair[order[first]])
+        return x[chosen], y[chosen], differ[chosen]
+
+    def keep(x: np.ndarray, y: np.ndarray, differ: np.ndarray) -> None:
+        found.append(least(x, y, differ) if nearest else (x, y, differ))
 
-    lengths = np.diff(bounds)
     whole = rows[bounds[:-1], 1] == rows[bounds[:-1], 2]
     few = whole & (lengths <= small)
-    unit = np.repeat(np.arange(len(lengths)), lengths)
     at = np.flatnonzero(few[unit])
     for d in range(1, small):
-        x = at[:-d] if d < len(at) else at[:0]
-        x = x[(x + d < len(rows))]
-        x = x[unit[x] == unit[np.minimum(x + d, len(rows) - 1)]]
+        x = at[at + d < len(rows)]
+        x = x[unit[x] == unit[x + d]]
         if not len(x):
             break
-        ok = good(x, x + d)
-        keep(x[ok], x[ok] + d)
+        ok, differ = good(x, x + d)
+        keep(x[ok], x[ok] + d, differ[ok])
     pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     for u in np.flatnonzero(~few).tolist():
         own = np.arange(bounds[u], bounds[u + 1])
@@ -380,20 +391,24 @@ def candidates(rows: np.ndarray, bounds: np.ndarray, similarity: float, small: i
             for two in tiles[1][i:] if whole[u] else tiles[1]:
                 if max(pop[two[0]] - pop[one[-1]], pop[one[0]] - pop[two[-1]]) > most * (size[one].max() + size[two].max()):
                     continue
-                ok = good(one[:, None], two[None, :])
+                ok, differ = good(one[:, None], two[None, :])
                 if whole[u] and one is two:
                     ok = np.triu(ok, 1)
                 a, b = np.nonzero(ok)
-                keep(one[a], two[b])
-    return out
+                keep(one[a], two[b], differ[a, b])
+    x, y, differ = (np.concatenate(c) for c in zip(*found))
+    if nearest:
+        x, y, _ = least(x, y, differ)
+    return list(zip(np.minimum(fp[x], fp[y]).tolist(), np.maximum(fp[x], fp[y]).tolist()))
 
 
 def similar_links(own: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect all sets of own (fp, size, tokens) with that Jaccard similarity or more.
 
     distinct: own's sets once, with mark, size, parity and bits. Sets that are similar share one of their prefixes' shingles.
-    First every set is held against the two smallest of those it shares most shingles with; then, in the cell of every
-    shingle that these links don't connect yet, all pairs of different components.
+    First every set is held against the two smallest of those it shares most shingles with. Then, twice, in the cell of every
+    shingle that the links don't connect yet, every component against its nearest other; so groups of very many copies are
+    one component before, last, all pairs of different components in a cell are.
     """
     spark = docs.sparkSession
     once = own.groupBy("fp").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
@@ -406,18 +421,23 @@ def similar_links(own: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
     led = led.where(F.col("n") >= F.lit((1 - similarity) / 4) * F.col("size"))  # pairs with less in common are left to the second step
     most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
     led, led_path = materialize(led.withColumn("rank", most).where("rank <= 2").select("a", "b"), "led")
-    first, first_path = verified(led, distinct, docs, text, shingle, similarity)
-    roots, roots_path = materialize(components(first), "roots")
-    rooted = shared.where("size > 1").join(roots, shared.fp == roots.vertex, "left").select("token", "fp", "size", "pos", F.coalesce("root", "fp").alias("root"))
-    rooted, rooted_path = materialize(rooted, "rooted")
-    mixed, mixed_path = materialize(rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token"), "mixed")
+    links, links_path = verified(led, distinct, docs, text, shingle, similarity)
+    shared = shared.where("size > 1").select("token", "fp", "size", "pos")
     bits = [f"bits{k}" for k in range(FOLDED)]
-    cells = rooted.join(mixed, "token").join(distinct.select("fp", *bits), "fp").withColumnRenamed("token", "cell")
-    rest = cell_links(cells.select("cell", "fp", "root", "size", "pos", *bits), ["root", "size", "pos", *bits], lambda rows, bounds: candidates(rows, bounds, similarity))
-    rest, rest_path = materialize(rest.distinct(), "rest")
-    second, second_path = verified(rest, distinct, docs, text, shingle, similarity)
-    links, _ = materialize(first.unionAll(second), "links")
-    for done in (leads_path, shared_path, led_path, first_path, roots_path, rooted_path, mixed_path, rest_path, second_path):
+    for nearest in (True, True, False):
+        roots, roots_path = materialize(components(links), "roots")
+        rooted = shared.join(roots, shared.fp == roots.vertex, "left").select("token", "fp", "size", "pos", F.coalesce("root", "fp").alias("root"))
+        rooted, rooted_path = materialize(rooted, "rooted")
+        mixed, mixed_path = materialize(rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token"), "mixed")
+        cells = rooted.join(mixed, "token").join(distinct.select("fp", *bits), "fp").withColumnRenamed("token", "cell")
+        found = cell_links(cells.select("cell", "fp", "root", "size", "pos", *bits), ["root", "size", "pos", *bits], partial(candidates, similarity=similarity, nearest=nearest))
+        found, found_path = materialize(found.distinct(), "candidates")
+        more, more_path = verified(found, distinct, docs, text, shingle, similarity)
+        now, now_path = materialize(links.unionAll(more), "links")
+        for done in (roots_path, rooted_path, mixed_path, found_path, more_path, links_path):
+            discard(spark, done)
+        links, links_path = now, now_path
+    for done in (leads_path, shared_path, led_path):
         discard(spark, done)
     return links
 

@@ -217,6 +217,8 @@ def test_candidates_are_those_of_all_pairs():
         got = set(simhash.candidates(rows, bounds, 0.8))
         want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if cells[i] == cells[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
         assert want and want <= got and len(got) < 3 * len(want) + 50
+        near = simhash.candidates(rows, bounds, 0.8, nearest=True)
+        assert set(near) <= got and len(near) <= len(sets) and {i for p in near for i in p} == {i for p in got for i in p}
     halves = np.concatenate([rows, rows])
     halves[:, 0] = halves[:, 1] = 0
     halves[:, 2], halves[len(sets) :, 3] = 1, 1

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trust
 from .conf import EngineConf
-from .errors import InsufficientPrivilege, InvalidExpression, InvalidLabel, UnknownObject
+from .errors import InsufficientPrivilege, InvalidExpression, InvalidLabel, MaskingError, UnknownObject
 from .functions import Context
 from .operators import columns, dump, masking, privacy, static, views
 from .plans.rewrite import masked_sql
@@ -34,16 +35,16 @@ class Engine:
 
         A function is called once, when the table is first needed; register the table anew if its schema changes.
         """
-        path = None
         if isinstance(source, DataFrame):
             read = lambda: source
         elif isinstance(source, str):
-            path = source if fmt == "parquet" else None
+            static.recover(self.spark, source)
             loaded = self.spark.read.format(fmt).options(**(options or {})).load(source)
+            metadata |= {"path": source, "fmt": fmt, "options": options or {}, "partitions": static.partition_columns(loaded)}
             read = lambda: loaded
         else:
             read = cache(source)
-        table = Table(table_name(name), read, path=path, **metadata)
+        table = Table(table_name(name), read, **metadata)
         self.registry.tables[table.name] = table
         return table
 
@@ -252,7 +253,7 @@ class Session:
     """A role that isn't masked: authentic tables, with row policies."""
 
     def __init__(self, engine: Engine, role: str):
-        self.engine, self.role = engine, role
+        self.engine, self.role, self.cursors = engine, role, {}
 
     def resolve(self, parts: list[str]) -> tuple[str, str]:
         key = (DEFAULT_SCHEMA, parts[0]) if len(parts) == 1 else tuple(parts[-2:])
@@ -268,6 +269,22 @@ class Session:
     def sql(self, text: str, args=None) -> DataFrame:
         return masked_sql(self, text, args)
 
+    def declare_cursor(self, name: str, text: str, args=None) -> None:
+        """DECLARE name CURSOR FOR text: rows come to the driver partition by partition, as they are fetched."""
+        if name in self.cursors:
+            raise MaskingError(f'cursor "{name}" already exists')
+        self.cursors[name] = self.sql(text, args).toLocalIterator()
+
+    def fetch(self, name: str, n: int = 1) -> list:
+        """FETCH n FROM name: up to n further rows."""
+        if name not in self.cursors:
+            raise UnknownObject(f'cursor "{name}" does not exist')
+        return list(islice(self.cursors[name], n))
+
+    def close_cursor(self, name: str) -> None:
+        if self.cursors.pop(name, None) is None:
+            raise UnknownObject(f'cursor "{name}" does not exist')
+
 
 class MaskedSession(Session):
     """A masked role: may read masked tables, and nothing else."""

@@ -31,7 +31,6 @@ _same("now", 0, 0, "current_timestamp()")
 _same("btrim", 1, 2)
 _same("ltrim", 1, 1)
 _same("rtrim", 1, 1)
-_same("to_json", 1, 1, "to_json({0})", "to_jsonb", "row_to_json", "array_to_json")
 
 
 @mask_function("concat", args=(1, 64))
@@ -187,6 +186,14 @@ def _json(ctx: Context, value: str) -> str:
     return f"coalesce(substring({text}, 2, length({text}) - 2), 'null')"
 
 
+@mask_function("to_json", "to_jsonb", "row_to_json", "array_to_json", args=(1, 1))
+def to_json(ctx: Context, value: str) -> str:
+    """JSON text of rows, arrays, maps and single values; of NULL, NULL."""
+    if isinstance(ctx.type_of(value), (T.StructType, T.ArrayType, T.MapType)):
+        return f"to_json({value})"
+    return f"CASE WHEN {value} IS NOT NULL THEN {_json(ctx, value)} END"
+
+
 @mask_function("json_object", "jsonb_object", args=(2, 2))
 def json_object(ctx: Context, keys: str, values: str) -> str:
     return f"to_json(map_from_arrays({keys}, {values}))"

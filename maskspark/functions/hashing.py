@@ -41,8 +41,9 @@ def hex_to_int(ctx: Context, text: str) -> str:
 
 
 def projection_sql(seed: str, salt: str, last: str) -> str:
-    part = f"CAST(conv(substring(md5(concat(CAST({seed} AS string), {salt})), 1, 6), 16, 10) AS bigint)"
-    return f"CAST(round(CAST({last} AS bigint) * {part} / 16777215.0BD) AS int)"
+    """round(last * p / (2^24 - 1)) for p the first six hexadecimal digits of the MD5, in whole numbers alone."""
+    part = f"CAST(conv(left(md5(concat(CAST({seed} AS string), {salt})), 6), 16, 10) AS bigint)"
+    return f"CAST((2 * CAST({last} AS bigint) * {part} + 16777215) div 33554430 AS int)"
 
 
 @mask_function("projection_to_oid", args=(3, 3))

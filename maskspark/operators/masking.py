@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
@@ -130,16 +130,12 @@ def alias_of(table: Table) -> str:
 def numbered(df: DataFrame) -> DataFrame:
     """df with consecutive row numbers from 0 in a hidden column, without moving a row.
 
-    One pass counts the rows of each partition (one number for each comes to the driver); the second adds the counts of the
-    partitions before. The source must read the same partitions twice, as files do.
+    One pass counts the rows of each partition; the rows of the partitions before are a small table, a row for each
+    partition, that is joined by broadcast. The source must read the same partitions twice, as files do.
     """
-    own = F.monotonically_increasing_id()
-    counts = {r.p: r["n"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    if not before:
-        return df.withColumn(ROW_NUMBER, F.lit(0).cast("long"))
-    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    return df.withColumn(ROW_NUMBER, F.element_at(offsets, F.spark_partition_id()).cast("long") + own.bitwiseAND(F.lit((1 << 33) - 1)))
+    part = F.spark_partition_id()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.select(part.alias("__part")).groupBy("__part").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # a row for each partition
+    own = df.withColumn("__part", part).withColumn(ROW_NUMBER, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return own.join(F.broadcast(offsets), "__part").withColumn(ROW_NUMBER, F.col(ROW_NUMBER) + F.col("__before")).drop("__part", "__before")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import FeatureDisabled, UnknownObject
+from ..errors import FeatureDisabled, MaskingError, UnknownObject
 from ..registry import DEFAULT_POLICY, Table
 from ..sqltext import quote
 from .masking import Compiler, numbered
@@ -18,17 +18,53 @@ def _enabled(engine) -> None:
         raise FeatureDisabled("Anon: Static Masking is not enabled: set anon.static_masking to use it")
 
 
+#: Formats that are written as they are read.
+FORMATS = frozenset("parquet orc json csv".split())
+
+
+def partition_columns(df: DataFrame) -> list[str]:
+    """Columns whose values are folders of the files that df reads."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return []
+    return list(plan.relation().partitionSchema().fieldNames())
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs
+    p = jvm.Path(path)
+    return jvm, p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finishes a swap that was cut off between its two renames: the table is missing, its new files are complete."""
+    jvm, p, fs = _files(spark, path)
+    if p.getParent() is None or fs.exists(p) or not fs.exists(p.getParent()):
+        return
+    beside = {f.getPath().getName(): f.getPath() for f in fs.listStatus(p.getParent()) if f.getPath().getName().startswith((f"{p.getName()}.staged-", f"{p.getName()}.old-"))}
+    for name, staged in sorted(beside.items()):
+        old = beside.get(name.replace(".staged-", ".old-"))
+        if ".staged-" in name and old is not None and fs.exists(jvm.Path(staged, "_SUCCESS")) and fs.rename(staged, p):
+            fs.delete(old, True)
+            return
+
+
 def replace(engine, table: Table, df: DataFrame) -> None:
-    """df becomes the table. The old files stay until the new ones are complete; the rename is the commit."""
+    """df becomes the table, in its own format and with its own partition columns.
+
+    The old files stay until the new ones are complete; then two renames swap them, which recover() finishes if they are cut
+    off. Where a store has no renames of folders, or readers must never miss the table, register a new path instead.
+    """
     if table.path is None:
         table.read = lambda df=df: df
         return
+    if table.fmt not in FORMATS:
+        raise MaskingError(f"tables of format {table.fmt} can't be rewritten")
     spark = engine.spark
-    staged, old = f"{table.path}.staged-{uuid.uuid4().hex}", f"{table.path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(table.path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    staged, old = f"{table.path}.staged-{mark}", f"{table.path}.old-{mark}"
+    df.write.format(table.fmt).options(**table.options).partitionBy(*table.partitions).save(staged)
+    jvm, path, fs = _files(spark, table.path)
     if not fs.rename(path, jvm.Path(old)):
         raise OSError(f"{table.path} can't be moved")
     if not fs.rename(jvm.Path(staged), path):
@@ -36,7 +72,7 @@ def replace(engine, table: Table, df: DataFrame) -> None:
         raise OSError(f"{staged} can't be moved")
     fs.delete(jvm.Path(old), True)
     spark.catalog.refreshByPath(table.path)
-    table.read = lambda path=table.path: spark.read.parquet(path)
+    table.read = lambda: spark.read.format(table.fmt).schema(df.schema).options(**table.options).load(table.path)
 
 
 def anonymize_column(engine, name: str, column: str, policy: str = DEFAULT_POLICY) -> bool:

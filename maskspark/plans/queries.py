@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..conf import EngineConf
 from ..engine import Engine
+from ..errors import InsufficientPrivilege, MaskingError
 from ..functions.dummy import FRENCH, GENERATORS, LOCALES, PLAIN
 from ..sources.dictionaries import own_values
 from ..streaming import mask_stream
@@ -126,6 +127,7 @@ for _step in ("day", "week", "month", "year", "decade", "century", "millennium")
     _stamp = lambda x: f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
     called(f"gen_ts_{_step}", "orders", {"r": f"anon.range_text(anon.generalize_tsrange(o_orderdate, '{_step}'))"}, "SELECT o_orderkey, " + _RANGE.format(low=_stamp(_low), high=_stamp(_high)) + " AS r FROM orders", keys="o_orderkey")
     called(f"gen_date_{_step}", "orders", {"r": f"anon.range_text(anon.generalize_daterange(CAST(o_orderdate AS date), '{_step}'))"}, "SELECT o_orderkey, " + _RANGE.format(low=f"strftime({_low}, '%Y-%m-%d')", high=f"strftime({_high}, '%Y-%m-%d')") + " AS r FROM orders", keys="o_orderkey")
+called("gen_tstz_month", "orders", {"r": "anon.range_text(anon.generalize_tstzrange(o_orderdate, 'month'))"}, "SELECT o_orderkey, " + _RANGE.format(low=_stamp("date_trunc('month', o_orderdate)"), high=_stamp("(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)")) + " AS r FROM orders", keys="o_orderkey")
 called("gen_date_hour", "orders", {"r": "anon.range_text(anon.generalize_daterange(CAST(o_orderdate AS date), 'hour'))"}, "SELECT o_orderkey, 'empty' AS r FROM orders", keys="o_orderkey")
 
 # trusted built-ins
@@ -157,6 +159,18 @@ called(
     keys="n_nationkey",
 )
 
+called(
+    "builtins_json", "nation",
+    {
+        "a": "anon.to_json(n_name)", "b": "anon.to_jsonb(array(n_nationkey, 1))", "c": "anon.row_to_json(struct(n_nationkey, n_name))", "d": "anon.array_to_json(array(n_regionkey))", "e": "anon.jsonb_build_array(n_nationkey, 'x')", "f": "anon.jsonb_build_object('k', n_nationkey)",
+        "g": "anon.json_object(array('a', 'b'), array('1', n_name))", "h": "anon.jsonb_object(array('a'), array(n_name))", "i": "anon.ltrim(concat('  ', n_name, ' '))", "j": "anon.rtrim(concat(' ', n_name, '  '))", "k": "anon.btrim(concat('  ', n_name, ' '))", "l": "anon.to_json(n_nationkey)",
+    },
+    "SELECT n_nationkey, '\"' || n_name || '\"' AS a, '[' || n_nationkey || ',1]' AS b, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS c, '[' || n_regionkey || ']' AS d, '[' || n_nationkey || ', \"x\"]' AS e, '{\"k\" : ' || n_nationkey || '}' AS f, "
+    "'{\"a\":\"1\",\"b\":\"' || n_name || '\"}' AS g, '{\"a\":\"' || n_name || '\"}' AS h, n_name || ' ' AS i, ' ' || n_name AS j, n_name AS k, n_nationkey::VARCHAR AS l FROM nation",
+    keys="n_nationkey",
+)
+called("builtins_to_timestamp", "nation", {"a": "CAST(anon.to_timestamp('05 Dec 2000 12:34', 'DD Mon YYYY HH24:MI') AS string)", "b": "CAST(anon.now() IS NOT NULL AS boolean)"}, "SELECT n_nationkey, '2000-12-05 12:34:00' AS a, TRUE AS b FROM nation", keys="n_nationkey")
+
 # rules, defaults, generated columns, casts
 
 masked("not_masked", "orders", {"o_orderstatus": "NOT MASKED", "o_orderkey": "NOT MASKED"}, "o_orderkey, o_orderstatus, o_orderpriority, o_totalprice", "SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS o_orderpriority, CAST(NULL AS DOUBLE) AS o_totalprice FROM orders", privacy_by_default=True)
@@ -251,11 +265,14 @@ _DYNAMIC = {
     "dyn_union": "SELECT c_mktsegment AS x FROM customer UNION SELECT o_orderstatus FROM orders",
     "dyn_window": "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS rn FROM customer",
     "dyn_rollup": "SELECT coalesce(c_nationkey, -1) AS c_nationkey, coalesce(c_mktsegment, 'all') AS c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)",
+    "dyn_table": "SELECT c_custkey, c_mktsegment FROM (TABLE customer) t",
+    "dyn_qualified": "SELECT public.customer.c_custkey, public.customer.c_name AS c_name FROM public.customer",
     "dyn_unmasked_table": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey",
 }
 
 
 def _public(sql: str) -> str:
+    sql = sql.replace("public.customer.", "customer.")
     return _HANDMADE + (", " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else sql).replace("public.", "")
 
 
@@ -263,6 +280,29 @@ for _name, _sql in _DYNAMIC.items():
     query(_public(_sql), _name)(lambda spark, sf_dir, sql=_sql: role_engine(spark, sf_dir).session("analyst").sql(sql))
 
 
+@query("SELECT TRUE AS refused, count(*) AS n, count(DISTINCT c_mktsegment) AS kinds FROM (SELECT 'CONFIDENTIAL' AS c_mktsegment FROM customer)")
+def dyn_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables, which would shift the rewriting, are refused; so are files and unknown tables."""
+    session = role_engine(spark, sf_dir).session("analyst")
+    refused = 0
+    for sql in ("SELECT '${spark.sql.shuffle.partitions}', c_name /*            */ FROM customer", f"SELECT * FROM parquet.`{sf_dir}/customer.parquet`", "TABLE missing"):
+        try:
+            session.sql(sql)
+        except InsufficientPrivilege:
+            refused += 1
+    return session.sql("SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS kinds FROM customer").withColumn("refused", F.lit(refused == 3))
+
+
+@query("SELECT c_custkey, c_name FROM (SELECT c_custkey, md5(c_name) AS c_name FROM customer) ORDER BY c_custkey LIMIT 7")
+def dyn_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first seven rows that a masked role fetches from a cursor."""
+    session = role_engine(spark, sf_dir).session("analyst")
+    session.declare_cursor("c", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey")
+    rows = session.fetch("c", 4) + session.fetch("c", 3)
+    session.close_cursor("c")
+    return spark.createDataFrame(rows, "c_custkey long, c_name string")
+
+
 @query("SELECT c_custkey, upper(c_name) AS c_name, c_mktsegment FROM customer")
 def dyn_second_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_engine(spark, sf_dir).session("auditor").sql("SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -307,13 +347,50 @@ def text_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, md5(c_name) AS c_name, c_nationkey FROM customer")
 def static_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """anonymize_table() on a registered table; files are covered by tests, since a query leaves its inputs alone."""
+    """anonymize_table() on a registered table."""
     engine = engine_for(spark, sf_dir)
     engine.label("COLUMN", "customer.c_name", f("anon.md5(c_name)"))
     assert engine.anonymize_database()
     return engine.table("customer").select("c_custkey", "c_name", "c_nationkey")
 
 
+def rewritten(fmt: str) -> None:
+    """Registers: anonymize_table() on files of a format, partitioned by nation, read back from the files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine, path = engine_for(spark, sf_dir), shared_path(spark, "static")
+        options = {"header": "true"} if fmt == "csv" else {}
+        engine.table("customer").select("c_custkey", "c_name", "c_nationkey").write.partitionBy("c_nationkey").format(fmt).options(**options).save(path)
+        engine.register("copy", path, fmt=fmt, options=options)
+        engine.label("COLUMN", "copy.c_name", f("anon.md5(c_name)"))
+        assert engine.anonymize_table("copy")
+        return spark.read.format(fmt).options(**options).load(path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"))
+
+    query("SELECT c_custkey, md5(c_name) AS c_name, c_nationkey FROM customer", f"static_{fmt}")(run)
+
+
+for _fmt in ("csv", "json", "orc", "parquet"):
+    rewritten(_fmt)
+
+
+def masked_files(fmt: str) -> None:
+    """Registers: a masked role's query over files of a format."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine, path = role_engine(spark, sf_dir), shared_path(spark, "files")
+        options = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
+        engine.table("supplier").write.format(fmt).options(**options).save(path)
+        engine.register("log", path, fmt=fmt, options=options)
+        engine.label("COLUMN", "log.s_name", f("anon.partial(s_name, 1, '*', 2)"))
+        return engine.session("analyst").sql("SELECT CAST(s_suppkey AS bigint) AS s_suppkey, s_name FROM log")
+
+    query("SELECT s_suppkey, left(s_name, 1) || '*' || right(s_name, 2) AS s_name FROM supplier", f"masked_{fmt}")(run)
+
+
+for _fmt in ("csv", "json"):
+    masked_files(_fmt)
+
+
 @query("SELECT c_custkey, substring(c_name, 1, 1) || '**' AS c_name FROM customer")
 def legacy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = engine_for(spark, sf_dir)
@@ -389,6 +466,17 @@ def random_id_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.masked("orders").agg(F.count("*").alias("n"), F.countDistinct("o_id").alias("ids"), (F.max("o_id") <= 2147483647).alias("within"))
 
 
+@query("SELECT count(*) AS n, TRUE AS listed, TRUE AS ids FROM customer")
+def random_enum_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a declared enumeration, and small consecutive ids."""
+    engine = engine_for(spark, sf_dir)
+    engine.register("people", engine.table("customer").withColumn("id", F.lit(0).cast("smallint")), enums={"c_mktsegment": ["red", "green"]})
+    engine.label("COLUMN", "people.c_mktsegment", f("anon.random_in_enum(c_mktsegment)"))
+    engine.label("COLUMN", "people.id", f("anon.random_id_smallint()"))
+    listed = F.expr("bool_and(c_mktsegment IN ('red', 'green'))")
+    return engine.masked("people").agg(F.count("*").alias("n"), listed.alias("listed"), F.expr("bool_and(id IS NOT NULL)").alias("ids"))
+
+
 @query("SELECT TRUE AS fewer, TRUE AS some, TRUE AS hidden")
 def sample_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = engine_for(spark, sf_dir)
@@ -492,6 +580,40 @@ def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.mask_columns(engine, "region")
 
 
+_CATALOGUE = {
+    "policies": "anon,second", "subquery": "SELECT * FROM (SELECT `r_regionkey` AS `r_regionkey`, CAST(NULL AS string) AS `r_name` FROM public.region) AS anon_alias_", "default": "'none'", "exists": "true", "missing": "false", "schema": "public", "relname": "region", "policy": "second",
+    "trusted": "true", "untrusted": "refused", "masks": "0", "roles": "false", "initialized": "true", "unloaded": "false", "identifier": "public.region.r_name", "version": "true",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in _CATALOGUE.items()) + ") t(what, value)")
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, policies, trust, defaults, identifiers and the removal of masks, as the engine reports them."""
+    engine = role_engine(spark, sf_dir)
+    engine.register("region", engine.table("region"), defaults={"r_name": "'none'"})
+    engine.label("COLUMN", "region.r_name", "MASKED WITH VALUE NULL")
+    engine.label("COLUMN", "region.r_name", "INDIRECT IDENTIFIER", policy="k_anonymity")
+    engine.register_function("outfit.mask", lambda x: x, trusted=True)
+    engine.register_function("outfit.cape", lambda x: x)
+    trusted = engine.trusted_functions().where("schema = 'outfit' AND function = 'mask'").count() == 1
+    try:
+        engine.conf.restrict_to_trusted_schemas = True
+        engine.label("COLUMN", "region.r_regionkey", f("outfit.cape(r_regionkey)"))
+        untrusted = "accepted"
+    except MaskingError:
+        untrusted = "refused"
+    found = engine.identifiers().first()
+    out = {
+        "policies": ",".join(engine.policies()), "subquery": engine.masking_subquery("region")[:-32], "default": engine.default_of("region", "r_name"), "exists": engine.column_exists("region", "r_name"), "missing": engine.column_exists("region", "x"), "schema": engine.get_schema("region"),
+        "relname": engine.get_relname("public.region"), "policy": engine.masking_policy("auditor"), "trusted": trusted, "untrusted": untrusted, "identifier": ".".join(found[:3]), "version": bool(engine.version()), "initialized": engine.dictionaries.is_initialized(),
+    }
+    engine.remove_masks_for_all_columns()
+    engine.remove_masks_for_all_roles()
+    engine.dictionaries.unload()
+    out |= {"masks": engine.masking_rules().count(), "roles": engine.hasmask("analyst"), "unloaded": engine.dictionaries.is_initialized()}
+    return spark.createDataFrame([(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in out.items()], "what string, value string")
+
+
 @query("SELECT c_custkey, 'CONFIDENTIAL' AS c_mktsegment FROM customer WHERE c_nationkey = 5")
 def dyn_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement with a parameter."""

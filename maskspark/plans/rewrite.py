@@ -1,11 +1,14 @@
 """Rewrites a masked role's SQL: every table becomes its masked form before Spark analyses the text.
 
 Spark's parser gives the unresolved plan; every relation in it knows its place in the text. Walking the plan with the
-scopes of common table expressions tells tables from such names. What isn't a query over known tables is refused.
+scopes of common table expressions tells tables from such names. What isn't a query over known tables is refused. So are
+variables, which the parser would substitute before it counts places. The rewritten text is parsed and walked once more, and
+runs only if every relation left in it is one of the masked views made for it.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -24,6 +27,10 @@ DENIED = frozenset("reflect java_method try_reflect read_files input_file_name i
 TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 
 
+#: The keyword of TABLE name, with white space and comments up to the name.
+_TABLE = re.compile(r"\bTABLE(?:\s|/\*(?:(?!\*/).)*\*/|--[^\n]*\n)+\Z", re.I | re.S)
+
+
 def _list(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
@@ -33,10 +40,14 @@ def _kind(node) -> str:
 
 
 class Finder:
-    """Relations of a parsed plan: (start, stop, name parts, whether an alias follows)."""
+    """Relations of a parsed plan: (start, stop, name parts, whether an alias follows), and columns and stars that are written
+    with a schema: (start, stop, name parts)."""
 
-    def __init__(self):
+    def __init__(self, spark):
+        loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        self.subquery = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression", True, loader)
         self.found: list[tuple[int, int, list[str], bool]] = []
+        self.columns: list[tuple[int, int, list[str]]] = []
 
     def plan(self, node, scope: frozenset[str], named: bool = False) -> None:
         kind = _kind(node)
@@ -76,30 +87,59 @@ class Finder:
     def expression(self, e, scope: frozenset[str]) -> None:
         if _kind(e) == "UnresolvedFunction" and _list(e.nameParts())[-1].lower() in DENIED:
             raise InsufficientPrivilege("Anon: role is masked")
-        if _kind(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "UnresolvedPlanId"):
+        if self.subquery.isInstance(e):
             self.plan(e.plan(), scope)
         if "Identifier" in _kind(e) and "Unresolved" in _kind(e):
             raise InsufficientPrivilege("Anon: role is masked")
+        parts = []
+        if _kind(e) == "UnresolvedAttribute":
+            parts = _list(e.nameParts())
+        elif _kind(e) == "UnresolvedStar" and e.target().isDefined():
+            parts = [*_list(e.target().get()), "*"]
+        if len(parts) > 2 and e.origin().startIndex().isDefined():
+            self.columns.append((e.origin().startIndex().get(), e.origin().stopIndex().get(), parts))
         for child in _list(e.children()):
             self.expression(child, scope)
 
 
+def _alias(key: tuple[str, str], keys: set[tuple[str, str]]) -> str:
+    """The alias of a table that has none in the text: its name, with its schema if a table of another schema is named alike."""
+    alike = {k for k in keys if k[1].lower() == key[1].lower()}
+    return key[1] if len(alike) == 1 else ".".join(key)
+
+
 def masked_sql(session, text: str, args=None) -> DataFrame:
     """text with every table masked for the session's role; args: values of its parameters."""
     spark = session.engine.spark
-    root = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    finder = Finder()
-    finder.plan(root, frozenset())
+    if "${" in text:
+        raise InsufficientPrivilege("Anon: variables are not available to masked roles")
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    finder = Finder(spark)
+    finder.plan(parser.parsePlan(text), frozenset())
+    plain = {session.resolve(parts) for _, _, parts, named in finder.found if not named}
     views: dict[tuple[str, str], str] = {}
-    out = text
+    edits: list[tuple[int, int, str]] = []
     try:
-        for start, stop, parts, named in sorted(finder.found, key=lambda x: -x[0]):
+        for start, stop, parts, named in finder.found:
             key = session.resolve(parts)
             if key not in views:
                 views[key] = f"masked_{uuid.uuid4().hex}"
                 session.table(key).createOrReplaceTempView(views[key])
-            alias = "" if named else f" AS {quote(parts[-1])}"
-            out = out[:start] + quote(views[key]) + alias + out[stop + 1 :]
+            new = quote(views[key]) + ("" if named else f" AS {quote(_alias(key, plain))}")
+            if (keyword := _TABLE.search(text[:start])) is not None:  # TABLE name is a query of its own
+                start, new = keyword.start(), f"SELECT * FROM {new}"
+            edits.append((start, stop, new))
+        for start, stop, parts in finder.columns:
+            key = next((k for k in plain if [x.lower() for x in k] == [x.lower() for x in parts[:2]]), None)
+            if key is not None:
+                edits.append((start, stop, ".".join([quote(_alias(key, plain)), *(x if x == "*" else quote(x) for x in parts[2:])])))
+        out = text
+        for start, stop, new in sorted(set(edits), reverse=True):
+            out = out[:start] + new + out[stop + 1 :]
+        again = Finder(spark)
+        again.plan(parser.parsePlan(out), frozenset())
+        if len(again.found) != len(finder.found) or any(len(parts) != 1 or parts[0] not in views.values() for _, _, parts, _ in again.found):
+            raise InsufficientPrivilege("Anon: role is masked")
         return spark.sql(out, args=args)
     finally:
         for view in views.values():

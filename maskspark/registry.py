@@ -56,6 +56,9 @@ class Table:
     row_policies: list[tuple[str, frozenset[str] | None]] = field(default_factory=list)
     is_view: bool = False
     path: str | None = None
+    fmt: str = "parquet"
+    options: dict[str, str] = field(default_factory=dict)
+    partitions: list[str] = field(default_factory=list)
 
     @property
     def sql_name(self) -> str:

@@ -14,6 +14,7 @@ def engine(spark):
     e = Engine(spark, EngineConf(transparent_dynamic_masking=True))
     e.register("t", spark.createDataFrame(ROWS, "id int, name string, n int"))
     e.register("u", spark.createDataFrame([(1, "x")], "id int, secret string"))
+    e.register("other.t", spark.createDataFrame(ROWS, "id int, name string, n int"))
     e.label("COLUMN", "t.name", "MASKED WITH VALUE 'hidden'")
     e.label("COLUMN", "u.secret", "MASKED WITH VALUE NULL")
     e.create_role("masked")
@@ -38,6 +39,12 @@ def engine(spark):
     ("SELECT s.name FROM u, LATERAL (SELECT name FROM t WHERE t.id = u.id) s", [("hidden",)]),
     ("SELECT k, name FROM t LATERAL VIEW explode(array(1, 2)) e AS k WHERE id = 1 ORDER BY k", [(1, "hidden"), (2, "hidden")]),
     ("SELECT 'FROM t' AS t", [("FROM t",)]),
+    ("TABLE t", [(1, "hidden", 10), (2, "hidden", 20), (3, "hidden", 30)]),
+    ("SELECT name FROM (TABLE t) s WHERE id = 1 UNION ALL (SELECT secret FROM (TABLE u) x)", [("hidden",), (None,)]),
+    ("SELECT public.t.name FROM public.t WHERE public.t.id = 1", [("hidden",)]),
+    ("SELECT public.t.* FROM public.t JOIN u ON public.t.id = u.id", [(1, "hidden", 10)]),
+    ("SELECT public.t.name AS a, other.t.name AS b FROM public.t JOIN other.t ON public.t.id = other.t.id WHERE other.t.id = 2", [("hidden", "Bob")]),
+    ("SELECT '\U0001f600' AS x, name FROM t WHERE id = 1 /* \U0001f600 */", [("\U0001f600", "hidden")]),
     ("SELECT name, row_number() OVER (ORDER BY id) AS r FROM t ORDER BY id LIMIT 1", [("hidden", 1)]),
 ])
 def test_masked_queries(engine, sql, expected):
@@ -114,7 +121,7 @@ def test_constraints(spark):
 
 
 def test_dump(engine, spark, tmp_path):
-    paths = engine.dump(str(tmp_path / "out"), tables=["t"])
+    paths = engine.dump(str(tmp_path / "out"), tables=["public.t"])
     assert list(paths) == ["public.t"]
     assert {r.name for r in spark.read.csv(paths["public.t"], header=True).collect()} == {"hidden"}
     assert list(engine.dump(str(tmp_path / "two"), exclude_tables=["public.t"], fmt="parquet")) == ["public.u"]
@@ -213,3 +220,60 @@ def test_constant_masks_prune_the_scan(engine, spark, tmp_path):
     engine.label("COLUMN", "p.name", "MASKED WITH VALUE 'x'")
     plan = engine.session("masked").sql("SELECT name, id FROM p WHERE id > 1")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:int>" in plan and "PushedFilters: [IsNotNull(id), GreaterThan(id,1)]" in plan
+
+
+def test_variables_do_not_shift_the_rewriting(engine, spark, tmp_path):
+    """The parser substitutes variables before it counts places."""
+    spark.createDataFrame(ROWS, "id int, name string, n int").write.parquet(f"{tmp_path}/raw")
+    spark.createDataFrame(ROWS, "id int, name string, n int").createOrReplaceTempView("t")
+    variable = "${spark.sql.shuffle.partitions}"
+    for sql in (f"SELECT '{variable}' AS c, name /* {' ' * 40} */ FROM t", f"SELECT '{variable}' AS c, '{variable}', * /* {' ' * 30} FROM parquet.`{tmp_path}/raw` -- */ FROM t", "SELECT '${spark.app.name}' AS c", "SELECT '${' AS c"):
+        with pytest.raises(InsufficientPrivilege):
+            engine.session("masked").sql(sql)
+    for sql in (f"SELECT * FROM parquet.`{tmp_path}/raw`", f"TABLE parquet.`{tmp_path}/raw`", "SELECT * FROM t /* x */ JOIN missing", "SELECT explode(array(1)) FROM (TABLE missing)"):
+        with pytest.raises(InsufficientPrivilege):
+            engine.session("masked").sql(sql)
+    assert {r.name for r in engine.session("masked").sql("SELECT name FROM t").collect()} == {"hidden"}
+    spark.catalog.dropTempView("t")
+
+
+def test_cursors(engine):
+    s = engine.session("masked")
+    s.declare_cursor("c", "SELECT id, name FROM t ORDER BY id")
+    assert [tuple(r) for r in s.fetch("c", 2)] == [(1, "hidden"), (2, "hidden")]
+    assert [tuple(r) for r in s.fetch("c", 9)] == [(3, "hidden")] and s.fetch("c") == []
+    with pytest.raises(MaskingError):
+        s.declare_cursor("c", "SELECT 1")
+    s.close_cursor("c")
+    with pytest.raises(UnknownObject):
+        s.fetch("c")
+    with pytest.raises(InsufficientPrivilege):
+        s.declare_cursor("d", "SELECT * FROM missing")
+
+
+@pytest.mark.parametrize("fmt, options", [("csv", {"header": "true"}), ("json", {}), ("orc", {}), ("parquet", {})])
+def test_static_masking_keeps_format_and_partitions(spark, tmp_path, fmt, options):
+    path = f"{tmp_path}/table"
+    spark.createDataFrame([(1, "Ada", "x"), (2, "Bob", "y"), (3, "Cid", "y")], "id int, name string, part string").write.partitionBy("part").format(fmt).options(**options).save(path)
+    e = Engine(spark)
+    e.register("t", path, fmt=fmt, options=options)
+    e.label("COLUMN", "t.name", "MASKED WITH FUNCTION anon.partial(name, 1, '*', 0)")
+    assert e.anonymize_table("t")
+    rows = {("1", "A*", "x"), ("2", "B*", "y"), ("3", "C*", "y")}
+    assert {(str(r.id), r.name, r.part) for r in spark.read.format(fmt).options(**options).load(path).collect()} == rows
+    assert {(str(r.id), r.name, r.part) for r in e.table("t").collect()} == rows
+    assert {p.name for p in (tmp_path / "table").iterdir() if p.is_dir()} == {"part=x", "part=y"} and [p.name for p in tmp_path.iterdir()] == ["table"]
+    # a swap that was cut off after the old files were moved is finished when the table is registered again
+    (tmp_path / "table").rename(tmp_path / "table.staged-1")
+    (tmp_path / "table.old-1").mkdir()
+    e.register("t", path, fmt=fmt, options=options)
+    assert e.table("t").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_static_masking_refuses_what_it_cannot_write(spark, tmp_path):
+    spark.createDataFrame(ROWS, "id int, name string, n int").write.parquet(f"{tmp_path}/t")
+    e = Engine(spark)
+    e.register("t", f"{tmp_path}/t", fmt="binaryFile")
+    e.label("COLUMN", "t.path", "MASKED WITH VALUE NULL")
+    with pytest.raises(MaskingError):
+        e.anonymize_table("t")

@@ -1,8 +1,8 @@
 """Token ids by the tokenizers library, memoised by chunk between white space.
 
 The word vocabulary drops white space and merges within words only, so a text's ids are the ids of its chunks one after
-another. Rare chunks go to the library once; frequent ones cost a dictionary lookup. Any tokenizer whose set-up is not
-known to allow that gets whole texts.
+another. Rare chunks go to the library once; frequent ones cost a dictionary lookup. Any tokenizer whose specification is not
+known to allow that, patterns and added tokens included, gets whole texts.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: The only set-up whose ids are known to be a function of each chunk.
-_CHUNKED = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+#: The only normaliser and pre-tokeniser whose ids are known to be a function of each chunk, as the file has them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
 #: Chunks whose parts can be told without the library: letters that NFC and lower case treat one by one, digits, ASCII signs.
 _PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=?-@\[-`{}~]+")
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
@@ -34,6 +37,21 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def by_chunks(spec: dict) -> bool:
+    """Whether a tokenizer file's ids are those of a text's chunks one after another.
+
+    Added tokens must lie within a chunk, and none may consist of characters alone that are told apart without the library.
+    """
+    model = spec["model"]
+    same = (spec.get("normalizer"), spec.get("pre_tokenizer")) == (_NORMALIZER, _PRE_TOKENIZER)
+    plain = not any((spec.get("post_processor"), spec.get("truncation"), spec.get("padding"), model.get("dropout"), model.get("continuing_subword_prefix")))
+    added = all(
+        t["content"] and not re.search(r"\s", t["content"]) and not _PLAIN.fullmatch(t["content"]) and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        for t in spec.get("added_tokens", [])
+    )
+    return same and plain and model["type"] == "BPE" and added
+
+
 class Encoder:
     """Text to ids as little-endian unsigned 32-bit integers."""
 
@@ -41,8 +59,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kinds = lambda part, inner: [x["type"] for x in (spec.get(part) or {}).get(inner, [])]
-        self.chunked = (kinds("normalizer", "normalizers"), kinds("pre_tokenizer", "pretokenizers")) == _CHUNKED
+        self.chunked = by_chunks(spec)
         self.model = self.tokenizer.model
         if self.chunked:
             self.model._resize_cache(0)

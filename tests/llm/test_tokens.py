@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from maskspark.llm import dac, packing
-from maskspark.llm.tokens import default_vocabulary, encoder
+from maskspark.llm.tokens import Encoder, default_vocabulary, encoder
 
 from .conftest import AWKWARD
 
@@ -20,6 +21,30 @@ def test_chunks_give_the_library_ids(text):
     assert e.encode(text + " <|endoftext|>x don't") == e.whole(text + " <|endoftext|>x don't")
 
 
+def _other(spec, kind):
+    if kind == "digits":
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"
+    elif kind == "spaces":
+        spec["normalizer"]["normalizers"][1]["content"] = "_"
+    elif kind == "plain token":
+        spec["added_tokens"][0]["content"] = "abc"
+    else:
+        spec["added_tokens"][0]["content"] = "<a b>"
+
+
+@pytest.mark.parametrize("kind", ["digits", "spaces", "plain token", "token with a space"])
+def test_other_specifications_get_the_library_ids(tmp_path, kind):
+    with open(default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    _other(spec, kind)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    e = Encoder(str(path))
+    assert not e.chunked and encoder(default_vocabulary()).chunked
+    for text in ("in 2024 zabc <a b> don't", "abc  abc\t12345", ""):
+        assert e.encode(text) == e.whole(text)
+
+
 def brute_ids(text):
     e = encoder(default_vocabulary())
     return np.frombuffer(e.whole(text or ""), "<u4").tolist() + [1]

@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, memoised by chunk between white space.
 
 The word vocabulary drops white space and merges within words only, so a text's ids are the ids of its chunks one after
-another. Rare chunks go to the library once; frequent ones cost a dictionary lookup. Any tokenizer whose specification is not
+another. Rare chunks go to the library; frequent ones cost a dictionary lookup. Any tokenizer whose specification is not
 known to allow that, patterns and added tokens included, gets whole texts.
 """
 
@@ -23,8 +23,10 @@ _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
 #: Chunks whose parts can be told without the library: letters that NFC and lower case treat one by one, digits, ASCII signs.
 _PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=?-@\[-`{}~]+")
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
-#: Entries of a generation, of chunks and of parts. A worker keeps two generations of each; what falls out costs time only.
-CACHE_CHUNKS, CACHE_PARTS = 400_000, 300_000
+#: Entries of a generation, of chunks and of parts, and the length of each at most. An encoder keeps two generations of each.
+#: Most chunks never come again, so only what is met a second time is kept, by a byte for each of SEEN hashes, which starts anew
+#: with a generation. What isn't kept costs time only.
+CACHE, CACHE_LENGTH, SEEN = 1 << 17, 64, 1 << 21
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,19 +70,23 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
         self.older_chunks: dict[bytes, bytes] = {}
         self.older_parts: dict[str, bytes] = {}
+        self.seen_chunks, self.seen_parts = bytearray(SEEN), bytearray(SEEN)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
+        """What _chunk() didn't find among the newer parts."""
+        got = self.older_parts.get(part)
         if got is None:
-            got = self.older_parts.get(part)
-            if got is None:
-                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-                got = packed([t.id for t in self.model.tokenize(spelled)])
-            if len(self.parts) >= CACHE_PARTS:
-                self.older_parts, self.parts = self.parts, {}
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = packed([t.id for t in self.model.tokenize(spelled)])
+        at = hash(part) & (SEEN - 1)
+        if not self.seen_parts[at]:
+            self.seen_parts[at] = 1
+        elif len(part) <= CACHE_LENGTH:
+            if len(self.parts) >= CACHE:
+                self.older_parts, self.parts, self.seen_parts = self.parts, {}, bytearray(SEEN)
             self.parts[part] = got
         return got
 
@@ -90,13 +96,17 @@ class Encoder:
         if got is None:
             text = chunk.decode()
             if _PLAIN.fullmatch(text):
-                got = b"".join(map(self._part, _PARTS.findall(text.lower())))
+                got = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(text.lower())])
             else:
                 got = self.whole(text)
-        if len(self.chunks) >= CACHE_CHUNKS:
-            self.older_chunks = dict(self.chunks)
-            self.chunks.clear()
-        self.chunks[chunk] = got
+        at = hash(chunk) & (SEEN - 1)
+        if not self.seen_chunks[at]:
+            self.seen_chunks[at] = 1
+        elif len(chunk) <= CACHE_LENGTH:
+            if len(self.chunks) >= CACHE:
+                self.older_chunks, self.seen_chunks = dict(self.chunks), bytearray(SEEN)
+                self.chunks.clear()  # encode() has its method
+            self.chunks[chunk] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -110,7 +120,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary."""
+    """One per worker process and vocabulary. It stays while the worker serves other stages, so it has to be small."""
     return Encoder(path)
 
 

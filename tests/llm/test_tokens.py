@@ -1,11 +1,12 @@
 import json
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from maskspark.llm import dac, packing
+from maskspark.llm import dac, packing, tokens
 from maskspark.llm.tokens import Encoder, default_vocabulary, encoder
 
 from .conftest import AWKWARD
@@ -45,6 +46,30 @@ def test_other_specifications_get_the_library_ids(tmp_path, kind):
         assert e.encode(text) == e.whole(text)
 
 
+def test_encoder_keeps_neither_rare_nor_long_chunks():
+    e = Encoder(default_vocabulary())
+    rare, long = " ".join(f"{i}x{i}" for i in range(100_000)), " ".join(f"{i}" + "ab-" * 10_000 for i in range(100))
+    tracemalloc.start()
+    for text in (rare, *[long] * 3):
+        ids = e.encode(text)
+    assert ids == e.whole(long)
+    del ids
+    grown = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert grown < 5e6
+
+
+def test_repeated_chunks_are_kept_through_generations(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    e = Encoder(default_vocabulary())
+    for i in range(0, 300, 10):
+        text = " ".join(f"word{k}, Word{k} né{k}" for k in range(i, i + 20)) + " the The, 7"
+        for _ in range(3):
+            assert e.encode(text) == e.whole(text)
+    assert b"the" in e.chunks or b"the" in e.older_chunks
+    assert max(map(len, (e.chunks, e.older_chunks, e.parts, e.older_parts))) <= 50
+
+
 def brute_ids(text):
     e = encoder(default_vocabulary())
     return np.frombuffer(e.whole(text or ""), "<u4").tolist() + [1]

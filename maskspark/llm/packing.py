@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import crc, default_vocabulary, encoder
+from .tokens import Encoder, crc, default_vocabulary
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -129,7 +129,8 @@ def pack_sequences(
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, int(end_id).to_bytes(4, "little")
+        # of this task alone: the worker goes on to other stages, and would hold its memory there
+        encode, end = Encoder(path).encode, int(end_id).to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 33
 
         def documents():

@@ -1,8 +1,10 @@
+import gc
 import json
 import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,6 +72,18 @@ def test_repeated_chunks_are_kept_through_generations(monkeypatch):
     assert max(map(len, (e.chunks, e.older_chunks, e.parts, e.older_parts))) <= 50
 
 
+def test_workers_drop_packing_encoders_with_their_tasks(spark, documents):
+    def held(batches):
+        for batch in batches:
+            n = sum(type(x).__name__ == "Encoder" and hasattr(x, "chunked") for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(batch), pa.int64())], ["n"])
+
+    most = lambda: spark.range(8, numPartitions=8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0]
+    before = most()  # token files' encoders stay
+    packing.pack_sequences(documents(AWKWARD).repartition(8)).count()
+    assert most() <= before
+
+
 def brute_ids(text):
     e = encoder(default_vocabulary())
     return np.frombuffer(e.whole(text or ""), "<u4").tolist() + [1]
